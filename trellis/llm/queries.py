@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trellis.llm.components import connected_components
 from trellis.llm.history import mark_duplicates
 from trellis.llm.ids import dashed_id, phash_bits, sha256_hex
+from trellis.llm.similar_sets import similar_records
 from trellis.runtime import load
 
 
@@ -29,12 +30,56 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("seq").bitwiseAND(F.lit((1 << 44) - 1)).alias("upload_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of manifests of at least 5 terms whose sets share at least 0.8 of all terms."""
+    table = load(spark, sf_dir, "asset_manifests")
+    members, pairs = similar_records(table, "manifest_id", ["visual_tags", "mood_tone"])
+    a = members.select(F.col("set_id").alias("set_a"), F.col("manifest_id").alias("manifest_a"))
+    b = members.select(F.col("set_id").alias("set_b"), F.col("manifest_id").alias("manifest_b"))
+    across = pairs.join(a, "set_a").join(b, "set_b")
+    within = a.join(b, F.col("set_a") == F.col("set_b")).filter("manifest_a < manifest_b")
+    ends = [F.least("manifest_a", "manifest_b").alias("manifest_a"), F.greatest("manifest_a", "manifest_b").alias("manifest_b")]
+    return across.select(*ends).unionByName(within.select("manifest_a", "manifest_b"))
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every manifest of at least 5 terms with its set's id and the number of other sets similar to it."""
+    members, pairs = similar_records(load(spark, sf_dir, "asset_manifests"), "manifest_id", ["visual_tags", "mood_tone"])
+    links = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("links"))
+    return members.join(links, "set_id", "left").select("manifest_id", F.col("set_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes}
 
 _HEX = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 _ID = "regexp_replace(replace(" + _HEX + ", '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 
+_SETS = """
+s AS (
+  SELECT DISTINCT manifest_id, list_sort(list_distinct(list_filter(list_transform(
+    list_concat(coalesce(visual_tags, []), coalesce(mood_tone, [])), lambda t: lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g'))),
+    lambda t: t IS NOT NULL AND t <> ''))) terms
+  FROM asset_manifests
+), big AS (SELECT manifest_id, terms FROM s WHERE len(terms) >= 5)
+"""
+
 ORACLES = {
+    "p6_found": f"""
+WITH {_SETS}
+SELECT a.manifest_id AS manifest_a, b.manifest_id AS manifest_b
+FROM big a JOIN big b ON a.manifest_id < b.manifest_id
+ AND 10 * len(list_intersect(a.terms, b.terms)) >= 8 * (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms)))
+""",
+    "p6_classes": f"""
+WITH {_SETS}, c AS (SELECT terms, min(manifest_id) AS set_id FROM big GROUP BY terms),
+l AS (
+  SELECT a.set_id, count(*) AS n FROM c a JOIN c b ON a.set_id <> b.set_id
+   AND 10 * len(list_intersect(a.terms, b.terms)) >= 8 * (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms)))
+  GROUP BY a.set_id
+)
+SELECT big.manifest_id, c.set_id AS class_id, coalesce(l.n, 0) AS links
+FROM big JOIN c USING (terms) LEFT JOIN l ON l.set_id = c.set_id
+""",
     "p1_found": f"""
 WITH RECURSIVE hits AS (
   SELECT {_ID.format(c='asset_id')} a, {_ID.format(c='id')} b FROM similar_hits WHERE distance BETWEEN 0 AND 6
