@@ -1,4 +1,7 @@
 """All queries of the core and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from trellis.queries import packed
+
+MODULES = (packed,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -9,6 +9,7 @@ is absent, as in tests on one machine.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -75,6 +76,11 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         self._delete(df._trellis_path)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished jobs, which it does on garbage collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         self._delete(self.root)
 
