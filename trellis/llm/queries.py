@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trellis.llm.components import connected_components
 from trellis.llm.history import mark_duplicates
 from trellis.llm.ids import dashed_id, phash_bits, sha256_hex
+from trellis.llm.nearest import similar_vectors, usable
 from trellis.llm.similar_sets import similar_records
 from trellis.runtime import load
 
@@ -18,6 +19,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(hits.select(dashed_id(F.col("asset_id")).alias("src"), dashed_id(F.col("id")).alias("dst")))
 
 
+def _usable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, grp, v) of the usable vectors; index_meta has one row an index and is left to the planner to broadcast."""
+    meta = load(spark, sf_dir, "index_meta").select("index_no", "dimensions").dropDuplicates(["index_no"])
+    rows = load(spark, sf_dir, "index_vectors").join(meta, "index_no").filter(usable(F.col("vectors"), F.col("dimensions")))
+    return rows.select(F.col("vec_id").alias("id"), F.col("index_no").alias("grp"), F.col("vectors").alias("v"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one index with a cosine of at least 0.8, one among the 5 most similar of the other."""
+    return similar_vectors(_usable_vectors(spark, sf_dir)).select("vec_a", "vec_b")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads that show an image of the catalogue or of an earlier upload."""
     keys = lambda df, seq: df.select(seq.alias("seq"), F.unhex(sha256_hex(F.col("sha256"))).alias("sha"), phash_bits(F.col("phash")).alias("fp"))
@@ -49,7 +62,7 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(links, "set_id", "left").select("manifest_id", F.col("set_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes}
 
 _HEX = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 _ID = "regexp_replace(replace(" + _HEX + ", '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
@@ -90,6 +103,17 @@ WITH RECURSIVE hits AS (
   SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a
 )
 SELECT a AS id, least(a, min(b)) AS group_id FROM reach GROUP BY a
+""",
+    "p3_found": """
+WITH v AS (
+  SELECT DISTINCT vec_id, index_no, list_transform(vectors, lambda x: x::DOUBLE) v FROM index_vectors JOIN index_meta USING (index_no)
+  WHERE len(vectors) = dimensions AND len(list_filter(vectors, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(vectors, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id me, b.vec_id it, list_cosine_similarity(a.v, b.v) c
+  FROM v a JOIN v b ON a.index_no = b.index_no AND a.vec_id <> b.vec_id
+), r AS (SELECT me, it, c, row_number() OVER (PARTITION BY me ORDER BY c DESC, it) k FROM p WHERE c >= 0.8)
+SELECT DISTINCT least(me, it) AS vec_a, greatest(me, it) AS vec_b FROM r WHERE k <= 5
 """,
     "p4_found": f"""
 WITH h AS (
