@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.llm.bpe import encode
 from trellis.llm.components import connected_components
 from trellis.llm.history import mark_duplicates
 from trellis.llm.ids import dashed_id, phash_bits, sha256_hex
 from trellis.llm.nearest import similar_vectors, usable
+from trellis.llm.packing import pack
 from trellis.llm.similar_sets import similar_records
 from trellis.runtime import load
 
@@ -62,7 +64,18 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(links, "set_id", "left").select("manifest_id", F.col("set_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every text; none for a null or empty one."""
+    return encode(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or part of a text of more than 2 048 tokens, with its container."""
+    sizes = encode(load(spark, sf_dir, "documents"), "doc_id", "text", only_sizes=True)
+    return pack(sizes, "doc_id", "tokens", 2048)
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 _HEX = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 _ID = "regexp_replace(replace(" + _HEX + ", '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
