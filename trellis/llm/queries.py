@@ -11,6 +11,7 @@ from trellis.llm.history import mark_duplicates
 from trellis.llm.ids import dashed_id, phash_bits, sha256_hex
 from trellis.llm.nearest import similar_vectors, usable
 from trellis.llm.packing import pack
+from trellis.llm.sentences import split_sentences
 from trellis.llm.similar_sets import similar_records
 from trellis.runtime import load
 
@@ -75,7 +76,12 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", 2048)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every text, in order."""
+    return split_sentences(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 _HEX = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 _ID = "regexp_replace(replace(" + _HEX + ", '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
