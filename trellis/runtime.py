@@ -12,6 +12,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +79,10 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark remove the shuffle files of finished jobs, which it does on garbage collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def clear(self) -> None:
         self._delete(self.root)
