@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.bpe import encode
+from trellis.llm.canonical import map_to_reference
 from trellis.llm.components import connected_components
 from trellis.llm.history import mark_duplicates
 from trellis.llm.ids import dashed_id, phash_bits, sha256_hex
@@ -46,6 +47,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("seq").bitwiseAND(F.lit((1 << 44) - 1)).alias("upload_id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue entry that each typed or guessed product means, 0 if there is none."""
+    catalog = load(spark, sf_dir, "product_catalog").dropDuplicates(["product_id"])
+    one = load(spark, sf_dir, "manifest_entries").select(F.lit("product").alias("field"), F.col("entry_no").alias("record_no"), F.lit(1).alias("pos"), F.col("product").alias("value"))
+    many = load(spark, sf_dir, "asset_manifests").select(F.lit("products_or_flowers").alias("field"), F.col("manifest_id").alias("record_no"), F.posexplode("products_or_flowers").alias("at", "value"))
+    many = many.select("field", "record_no", (F.col("at") + 1).alias("pos"), "value")
+    rows = one.unionByName(many).filter(F.regexp_replace("value", r"(?U)\s+", "") != "")
+    names = catalog.select(F.col("product_name").alias("value")).distinct()
+    rows = rows.join(names, "value", "left_anti").distinct()
+    found = map_to_reference(rows, "value", catalog, "product_id", "product_name", "sku")
+    return found.select("field", "record_no", "pos", F.coalesce("entry", F.lit(0)).cast("bigint").alias("product_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of manifests of at least 5 terms whose sets share at least 0.8 of all terms."""
     table = load(spark, sf_dir, "asset_manifests")
@@ -81,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 _HEX = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 _ID = "regexp_replace(replace(" + _HEX + ", '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
