@@ -10,6 +10,7 @@ from trellis.llm.canonical import map_to_reference
 from trellis.llm.components import connected_components
 from trellis.llm.history import mark_duplicates
 from trellis.llm.ids import dashed_id, phash_bits, sha256_hex
+from trellis.llm.names import linked_spellings
 from trellis.llm.nearest import similar_vectors, usable
 from trellis.llm.packing import pack
 from trellis.llm.sentences import split_sentences
@@ -23,6 +24,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(hits.select(dashed_id(F.col("asset_id")).alias("src"), dashed_id(F.col("id")).alias("dst")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of the same person or organisation."""
+    tags = load(spark, sf_dir, "person_tags").select("name")
+    credits = load(spark, sf_dir, "manifest_entries").select(F.col("credit").alias("name"))
+    groups = linked_spellings(tags.unionByName(credits), "name")
+    a = groups.select("group_id", F.col("spelling").alias("name_a"))
+    b = groups.select("group_id", F.col("spelling").alias("name_b"))
+    return a.join(b, "group_id").filter("name_a < name_b").select("name_a", "name_b")
+
+
 def _usable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, grp, v) of the usable vectors; index_meta has one row an index and is left to the planner to broadcast."""
     meta = load(spark, sf_dir, "index_meta").select("index_no", "dimensions").dropDuplicates(["index_no"])
@@ -95,7 +106,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 _HEX = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 _ID = "regexp_replace(replace(" + _HEX + ", '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
