@@ -1,7 +1,7 @@
 """All queries of the core and the SQL that checks them."""
 
-from trellis.queries import packed
+from trellis.queries import packed, search
+from trellis.queries.registry import ORACLES, QUERIES
 
-MODULES = (packed,)
-QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
-ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+QUERIES.update(packed.QUERIES)
+ORACLES.update(packed.ORACLES)
