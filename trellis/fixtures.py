@@ -76,4 +76,4 @@ UNIT = "list_transform({0}, lambda x: (x / sqrt(list_dot_product({0}, {0})))::FL
 SEARCH = f"""{CAT}, {VEC}, low AS (SELECT entry_no, arg_min(v, id) v FROM vec GROUP BY entry_no),
 rows_ AS (SELECT cat.entry_no, title, epoch_us(created_time) created, {NAMES.format('people')} people, coalesce(product, '') product, {HAY} hay, low.v
   FROM cat LEFT JOIN low USING (entry_no) WHERE NOT archived)"""
-JOBS = "u AS (SELECT user_id job_id, event_id seq, epoch_ms(ts) at_, map {'view': 'queued', 'click': 'processing', 'purchase': 'done', 'signup': 'done', 'error': 'error'}[event_type] status, floor(value)::BIGINT progress FROM events)"
+JOBS = "u AS (SELECT user_id job_id, event_id seq, epoch_us(ts) // 1000 at_, map {'view': 'queued', 'click': 'processing', 'purchase': 'done', 'signup': 'done', 'error': 'error'}[event_type] status, floor(value)::BIGINT progress FROM events)"

@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 # Fixed values of the selection.
@@ -32,7 +33,7 @@ def scenes(frames: DataFrame, video: str, at: str, bits: str, distance: int = SC
     The fold depends on the order within a video; a video has at most a few dozen frames by
     ``plan``, so it is one group, and videos are independent.
     """
-    schema = frames.schema.add("scene", "int")
+    schema = StructType([*frames.schema.fields, StructField("scene", IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at], kind="stable")
