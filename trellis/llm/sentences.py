@@ -36,7 +36,8 @@ SURE, LIKELY = 10.83, 6.63
 # Punctuation of the scripts covered.
 STOPS = ".!?…。！？।؟"
 OPEN_CLOSE = {"(": ")", "（": "）", "[": "]", "«": "»", "「": "」", "『": "』", "《": "》", "“": "”", "„": "“"}
-CLOSERS = set(")）]»」』》”“\"")
+CLOSING = ")）]»」』》”“\""
+CLOSERS = set(CLOSING)
 OPENERS = "([（«“„\"「『《¿¡'’‘"
 
 _LINE = re.compile(r"\r\n|[\n\r\x85  ]")
@@ -47,6 +48,9 @@ _TIMED = re.compile(r"\s*\[?\d+(?:[.:]\d+)*\s*[–—-]\s*\d+(?:[.:]\d+)*\s*s?\]
 _STOP = re.compile(r"[.!?…。！？।؟]+")
 _INITIALS = re.compile(r"(?:[^\W\d_]\.[-‐]?)+")
 _NUMERIC = re.compile(r"[\d.,:/]*\d[\d.,:/]*")
+_PAIRED = re.compile("[" + re.escape("".join({*OPEN_CLOSE, *OPEN_CLOSE.values(), '"'})) + "]")
+_THAI = re.compile(r"[\u0e00-\u0e7f]")
+_SPACE = re.compile(r"\s+")
 _BROKEN = re.compile(r"[^\W\d_][’'\w]|[^\W\d_]\s")
 
 
@@ -61,7 +65,7 @@ def unspaced(ch: str) -> bool:
 
 def word_type(token: str) -> str:
     """What counts as one word: lower case without punctuation around; numbers are all alike."""
-    core = token.strip(OPENERS + "".join(CLOSERS) + ",;:" + STOPS)
+    core = token.strip(OPENERS + CLOSING + ",;:" + STOPS)
     if not core:
         return ""
     if any(c.isdigit() for c in core):
@@ -112,8 +116,8 @@ def pairs(text: str, start: int, end: int) -> dict[int, int]:
     found: dict[int, int] = {}
     open_: list[tuple[str, int]] = []
     straight = None
-    for i in range(start, end):
-        ch = text[i]
+    for m in _PAIRED.finditer(text, start, end):
+        ch, i = m.group(), m.start()
         if ch == '"':
             if straight is None:
                 straight = i
@@ -130,23 +134,48 @@ def pairs(text: str, start: int, end: int) -> dict[int, int]:
     return found
 
 
+def outermost(closes: dict[int, int]) -> list[tuple[int, int]]:
+    """The pairs that lie in no other, in order."""
+    out: list[tuple[int, int]] = []
+    for o, c in sorted(closes.items()):
+        if not out or o > out[-1][1]:
+            out.append((o, c))
+        elif c > out[-1][1]:
+            out[-1] = (out[-1][0], c)
+    return out
+
+
 # ---------------------------------------------------------------- statistics
 
 
-def count_text(text: str, lang: str, counts: Counter) -> None:
-    """Adds one text's counts: (lang, kind, word, follower, capital) -> number."""
+def count_text(text: str, lang: str, counts: Counter, types: dict[str, str] | None = None) -> None:
+    """Adds one text's counts: (lang, kind, word, follower, capital) -> number.
+
+    ``types`` remembers the word types of tokens from text to text.
+    """
+    types = {} if types is None else types
+
+    def word_of(token: str) -> str:
+        word = types.get(token)
+        if word is None:
+            word = types[token] = word_type(token)
+        return word
+
     for kind, start, end in blocks(text):
         if kind != "prose":
             continue
         spans = [(m.group(), m.start()) for m in _TOKEN.finditer(text, start, end)]
         tokens = [t for t, _ in spans]
-        quoted = sorted(pairs(text, start, end).items())
+        quoted = outermost(pairs(text, start, end))
+        at = 0
         fresh = True  # at an unambiguous start
         for i, (token, place) in enumerate(spans):
-            word = word_type(token)
+            word = word_of(token)
             if not word:
                 continue
-            if any(o < place < c for o, c in quoted):
+            while at < len(quoted) and quoted[at][1] < place:
+                at += 1
+            if at < len(quoted) and quoted[at][0] < place:
                 # what is quoted ends no unit
                 counts[lang, "word", word, "", False] += 1
                 fresh = False
@@ -156,7 +185,7 @@ def count_text(text: str, lang: str, counts: Counter) -> None:
                 counts[lang, "start", word, "", False] += 1
             elif i and thai(word[0]):
                 counts[lang, "inside", word, "", False] += 1
-            bare = token.rstrip("".join(CLOSERS))
+            bare = token.rstrip(CLOSING)
             fresh = bare == token and bare[-1] in "!?।؟" and len(bare) > 1
             if bare[-1] in STOPS and i + 1 == len(tokens):
                 counts[lang, "stop", "", "", True] += 1
@@ -168,7 +197,7 @@ def count_text(text: str, lang: str, counts: Counter) -> None:
                     continue
                 after = tokens[i + 1].lstrip(OPENERS)
                 counts[lang, "stop", "", "", False] += 1
-                counts[lang, "period", period_type(bare), word_type(after), after[:1].isupper()] += 1
+                counts[lang, "period", period_type(bare), word_of(after), after[:1].isupper()] += 1
         if tokens and any(unspaced(c) for c in tokens[0][:2]):
             for m in re.finditer(r"(?:^|[。！？])([぀-ヿ㐀-鿿]{2})", text[start:end]):
                 counts[lang, "start", m.group(1), "", False] += 1
@@ -178,9 +207,10 @@ def count_text(text: str, lang: str, counts: Counter) -> None:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
+        types: dict[str, str] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                count_text(text, lang or "", counts)
+                count_text(text, lang or "", counts, types)
         rows = list(counts)
         columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(4)]
         columns += [pa.array([r[4] for r in rows], pa.bool_()), pa.array([counts[r] for r in rows], pa.int64())]
@@ -281,22 +311,21 @@ class Splitter:
         """Where units of the prose block end, the block's own end left out."""
         found: list[int] = []
         closes = pairs(text, start, end)
-        inside_until = sorted(closes.items())
+        spans = outermost(closes)
         opened = {c: o for o, c in closes.items()}
         unit, at = start, start
         skip = 0
 
         def covered(i: int) -> bool:
             nonlocal skip
-            while skip < len(inside_until) and inside_until[skip][1] < i:
+            while skip < len(spans) and spans[skip][1] <= i:
                 skip += 1
-            return any(o < i < c for o, c in inside_until[skip : skip + 8])
+            return skip < len(spans) and spans[skip][0] < i
 
         marks = [(m.start(), m.end()) for m in _STOP.finditer(text, start, end)]
         spaces = []
-        if any(thai(c) for c in text[start:end]):
-            spaces = [(m.start(), m.end()) for m in re.finditer(r"\s+", text[start:end])]
-            spaces = [(a + start, -(b + start)) for a, b in spaces]
+        if _THAI.search(text, start, end):
+            spaces = [(m.start(), -m.end()) for m in _SPACE.finditer(text, start, end)]
         for a, b in sorted(marks + spaces):
             if a < at:
                 continue
