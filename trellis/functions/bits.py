@@ -30,12 +30,11 @@ def is_similar(a: Column, b: Column, distance: int) -> Column:
 
 def threshold_bits(block: Column) -> Column:
     """The hash of an 8 x 8 block of coefficients in rows: a bit for each above the median of all but the first."""
+    # the median is bound by a lambda, so that it isn't worked out again for each bit
+    quad = lambda d, m: F.aggregate(F.slice(block, d * 4 + 1, F.lit(4)), F.lit(0).cast("bigint"), lambda s, x: s * 2 + F.when(x > m, 1).otherwise(0))
+    digits = lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda d: F.lower(F.hex(quad(d, m)))), "")
     median = F.element_at(F.array_sort(F.slice(block, 2, 63)), 32)
-    digits = F.transform(
-        F.sequence(F.lit(0), F.lit(15)),
-        lambda d: F.lower(F.hex(F.aggregate(F.slice(block, d * 4 + 1, F.lit(4)), F.lit(0).cast("bigint"), lambda s, x: s * 2 + F.when(x > median, 1).otherwise(0)))),
-    )
-    return F.when(F.size(block) >= 64, F.array_join(digits, ""))
+    return F.when(F.size(block) >= 64, F.element_at(F.transform(F.array(median), digits), 1))
 
 
 def dct_matrix(n: int) -> np.ndarray:

@@ -30,8 +30,15 @@ def choose_blocks(stored: int, asked: int, radius: int) -> tuple[int, int]:
 
 
 def block_keys(fp: Column, blocks: int, kept: int) -> Column:
-    """Array of each table's key: the table's number, then the chosen blocks' bits."""
+    """Array of each table's key: the table's number, then the chosen blocks' bits.
+
+    Where these don't fit into 62 bits the key is their hash; what then meets by chance is
+    ruled out when the distance is verified.
+    """
     edges = [BITS * i // blocks for i in range(blocks + 1)]
+    if BITS * kept / blocks + comb(blocks, kept).bit_length() > 62:
+        masks = [sum((1 << BITS - edges[b]) - (1 << BITS - edges[b + 1]) for b in chosen) for chosen in combinations(range(blocks), kept)]
+        return F.array(*(F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(m - (1 << BITS) if m >> 63 else m))) for t, m in enumerate(masks)))
     keys = []
     for t, chosen in enumerate(combinations(range(blocks), kept)):
         key = F.lit(t).cast("bigint")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.operators import overlay
 from trellis.runtime import Workspace
 
 
@@ -21,23 +20,39 @@ def suppress_copies(stream: DataFrame, history: DataFrame, key: str, at: str, de
     return fresh.join(history.select(key).distinct(), key, "left_anti")
 
 
+def partial_fold(updates: DataFrame, key: str, seq: str, last: list[str], keep: list[str], first: list[str]) -> DataFrame:
+    """One row a key: each column's value with the number of the update it came from.
+
+    Partial folds of any split of the updates, in any order, fold to the same result.
+    """
+    present = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col(seq))
+    aggs = []
+    for c in last:
+        aggs += [F.max_by(F.struct(c), seq)[c].alias(c), F.max(seq).alias(f"{c}__seq")]
+    for c in keep:
+        aggs += [F.max_by(c, present(c)).alias(c), F.max(present(c)).alias(f"{c}__seq")]
+    for c in first:
+        aggs += [F.min_by(F.struct(c), seq)[c].alias(c), F.min(seq).alias(f"{c}__seq")]
+    return updates.groupBy(key).agg(*aggs)
+
+
 def fold_into(store: str, key: str, seq: str, last: list[str], keep: list[str], first: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends each micro-batch's folded updates to the overlay's log.
+    """A batch writer that adds each micro-batch's partial fold to the overlay's log.
 
     Each batch is one partition of the log, overwritten if it is run again, so a batch that is
     retried after a lost executor counts once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        folded = overlay.fold(batch, key, seq, last, keep, first).join(batch.groupBy(key).agg(F.max(seq).alias(seq)), key)
-        folded.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        partial_fold(batch, key, seq, last, keep, first).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return write
 
 
-def read_overlay(log: DataFrame, key: str, seq: str, last: list[str], keep: list[str], first: list[str]) -> DataFrame:
-    """The overlay from its log; folding is associative, so batches fold like updates."""
-    return overlay.fold(log, key, seq, last, keep, first)
+def read_overlay(log: DataFrame, key: str, last: list[str], keep: list[str], first: list[str]) -> DataFrame:
+    """The overlay from its log of partial folds."""
+    latest = [F.max_by(F.struct(c), f"{c}__seq")[c].alias(c) for c in [*last, *keep]]
+    return log.groupBy(key).agg(*latest, *(F.min_by(F.struct(c), f"{c}__seq")[c].alias(c) for c in first))
 
 
 def job_counts(updates: DataFrame, at: str, status: str, width: str, delay: str) -> DataFrame:
