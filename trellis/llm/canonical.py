@@ -180,18 +180,21 @@ def canonical(values: DataFrame, value: str, reference: DataFrame, entry: str, n
     found = ws.save(found.withColumn("rank", best).filter("rank = 1").select("unit", "terms"))
     heard = typed.join(found, "unit").select("value", F.explode("terms").alias("term")).distinct()
     heard = ws.save(heard.groupBy("value").agg(F.collect_set("term").alias("heard")))
-    # the entries, met through their rarest words
+    # the entries, met through the rare prefix of their words
     entries = refs.filter("size(terms) = 1 and not code").select("entry", F.col("terms")[0].alias("term")).distinct()
     spread = entries.groupBy("term").agg(F.count("*").alias("n"))
-    ranked = entries.join(spread, "term").withColumn("least", F.min("n").over(Window.partitionBy("entry")))
-    full = entries.groupBy("entry").agg(F.collect_set("term").alias("terms"))
-    rare = ranked.filter("n = least").select("entry", "term").join(full, "entry")
-    met = heard.select("value", "heard", F.explode("heard").alias("term")).join(rare, "term").select("value", "heard", "entry", "terms").distinct()
+    own = Window.partitionBy("entry")
+    ranked = entries.join(spread, "term").withColumn("least", F.min("n").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "term")))
+    full = ranked.groupBy("entry").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("n") == F.col("least"), F.col("term"))).alias("rarest"))
+    size = F.size("terms")
+    prefix = ranked.join(full, "entry").filter(F.col("place") <= size - F.ceil(size * F.lit(ENTRY_JACCARD) - 1e-9) + 1).select("entry", "term", "terms", "rarest")
+    met = heard.select("value", "heard", F.explode("heard").alias("term")).join(prefix, "term").select("value", "heard", "entry", "terms", "rarest").distinct()
     shared = F.size(F.array_intersect("heard", "terms"))
     met = met.withColumn("fit", shared / (F.size("heard") + F.size("terms") - shared)).filter((F.col("fit") >= ENTRY_JACCARD) | (shared == F.size("heard")))
     top = F.rank().over(Window.partitionBy("value").orderBy(F.desc("fit")))
-    chosen = met.withColumn("rank", top).filter("rank = 1").groupBy("value").agg(F.min("entry").alias("entry"), F.count("*").alias("n"))
-    out = ws.save(distinct.join(chosen.filter("n = 1").select("value", "entry"), "value", "left"))
+    sure = F.arrays_overlap("heard", "rarest")
+    chosen = met.withColumn("rank", top).filter("rank = 1").groupBy("value").agg(F.min("entry").alias("entry"), F.count("*").alias("n"), F.min(sure).alias("sure"))
+    out = ws.save(distinct.join(chosen.filter("n = 1 and sure").select("value", "entry"), "value", "left"))
     for df in (distinct, typed, refs, known, asked, found, heard):
         ws.drop(df)
     return out

@@ -425,6 +425,8 @@ class Splitter:
             counted = bool(_NUMERIC.fullmatch(before))
             rest = text[stop:end]
             return bool(first.isupper() and ((plain and worded) or counted) and _BROKEN.match(rest) and not rest[1:2].isupper() and self.short(lang, before.lower()) != "title")
+        if len(before) == 1 and before.isalpha() and re.match(r"\s*[^\W\d_]\.", text[stop:end]):
+            return False  # initials in a row, "z. B."
         kind = self.short(lang, period_type(before + "."))
         starter = self.has(lang, "starter", word)
         if period_type(before + ".") == NUMBER and first.isupper() and self.has(lang, "collocation", word):
