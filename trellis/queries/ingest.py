@@ -158,7 +158,13 @@ def slugify(spark, d):
     return catalog(spark, d).filter("title is not null").select("entry_no", tx.slugify(F.col("title")).alias("slug"))
 
 
-@query()
+_POWERS = "[" + ", ".join(str(36**i) for i in range(12, -1, -1)) + "]"
+_STEM = "regexp_replace(coalesce(title, ''), '\\.[^.]*$', '')"
+_LONG = "CASE WHEN length(b) > 60 THEN regexp_replace(left(b, 60), '-[^-]*$', '') ELSE b END"
+
+
+@query(f"""WITH {CAT}, k AS (SELECT entry_no, {SHA} sha, {_X.replace('filename', 'title')} ext, coalesce(nullif({_SLUG.format("coalesce(context, '')")}, ''), nullif({_SLUG.format(_STEM)}, ''), 'asset') b FROM cat)
+SELECT entry_no, {_LONG} || '-' || left(ltrim(array_to_string(list_transform({_POWERS}, lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', (('0x' || left(sha, 16))::UBIGINT::HUGEINT // p::HUGEINT % 36)::INT + 1, 1)), ''), '0'), 6) || '.' || ext AS slug FROM k WHERE sha IS NOT NULL""")
 def asset_slug(spark, d):
     """context or name, six base-36 digits of the hash, extension."""
     c = catalog(spark, d).select("entry_no", "context", "title", _sha(F.col("sha256")).alias("sha")).filter("sha is not null")
