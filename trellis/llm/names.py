@@ -27,26 +27,26 @@ from trellis.runtime import Workspace
 FAMILIAR = {
     "abigail": "abby gail abbie", "alexandra": "alex lexi sasha sandra alexa", "alexander": "alex sasha xander", "andrew": "andy drew",
     "anthony": "tony ant", "arabella": "bella belle", "augustine": "gus augie", "barnaby": "barney", "bartholomew": "bart barty",
-    "beatrice": "bea trixie", "benjamin": "ben benji", "cassandra": "cass cassie", "catherine": "cathy kate", "charles": "charlie chuck",
-    "charlotte": "lottie charlie", "christopher": "chris kit topher", "clementine": "clem", "cordelia": "delia cordy", "daniel": "dan danny",
+    "beatrice": "bea trixie", "benjamin": "ben benji", "cassandra": "cass cassie sandra", "catherine": "cathy kate", "charles": "charlie chuck",
+    "charlotte": "lottie charlie", "christopher": "chris kit topher", "clementine": "clem clemmie tina", "cordelia": "delia cordy", "daniel": "dan danny",
     "david": "dave davy", "desmond": "des dez", "dimitri": "dima mitya", "dominic": "dom nic", "dorothea": "dora thea dot",
     "edward": "ed eddie ned ted", "eleanor": "nell ellie nora lena", "elizabeth": "liz beth lizzie betty eliza", "emmanuel": "manny manu",
-    "evangeline": "evie eva lina", "ferdinand": "ferdi nand", "fitzgerald": "fitz", "francesca": "fran cesca frankie", "frederick": "fred freddie",
-    "gabriela": "gabi gabby", "genevieve": "gen eve viv", "georgina": "gina georgie", "gregory": "greg", "guinevere": "gwen gwinnie",
-    "harrison": "harry", "henrietta": "etta hettie hetty", "henry": "harry hank", "humphrey": "huff hum", "imogen": "immy", "ingeborg": "inge inga",
+    "evangeline": "evie eva lina", "ferdinand": "ferdi nand", "fitzgerald": "fitz gerry", "francesca": "fran cesca frankie", "frederick": "fred freddie",
+    "gabriela": "gabi gabby", "genevieve": "gen eve viv", "georgina": "gina georgie", "gregory": "greg greggo", "guinevere": "gwen gwinnie",
+    "harrison": "harry haz", "henrietta": "etta hettie hetty", "henry": "harry hank", "humphrey": "huff hum", "imogen": "immy", "ingeborg": "inge inga",
     "isabella": "izzy bella isa", "jacqueline": "jackie jacqui", "james": "jim jimmy jamie", "jeremiah": "jerry jem", "john": "jack johnny",
     "jonathan": "jon jonny nathan", "joseph": "joe joey", "josephine": "josie jo fina", "katherine": "kate kathy kat katie kit", "kenneth": "ken kenny",
-    "kimberly": "kim kimmy", "lawrence": "larry laurie", "leonardo": "leo nardo", "lucinda": "lucy cindy linda", "magdalena": "magda lena maggie",
+    "kimberly": "kim kimmy", "lawrence": "larry laurie laz", "leonardo": "leo nardo", "lucinda": "lucy cindy linda", "magdalena": "magda lena maggie",
     "margaret": "maggie peggy peg meg rita", "marguerite": "margot rita", "matthew": "matt matty", "maximilian": "max maxi", "michael": "mike mick mikey",
     "mitchell": "mitch", "natalia": "talia nat natty tasha", "nathaniel": "nate nat natty", "nicholas": "nick nico", "octavia": "tavy tavia",
     "oliver": "ollie noll", "ophelia": "opie phelie", "patricia": "pat trish patty tricia", "patrick": "pat paddy", "penelope": "penny nell",
-    "percival": "percy perce", "philippa": "pippa pip", "philip": "phil pip", "quentin": "quin", "raphael": "rafe rafa", "rebecca": "becky becca",
+    "percival": "percy perce", "philippa": "pippa pip", "philip": "phil pip", "quentin": "quin", "raphael": "rafe rafa", "rebecca": "becky becca bex",
     "richard": "rick dick rich", "robert": "rob bob bert bobby", "roderick": "rod roddy", "rosalind": "ros roz linda", "samuel": "sam sammy",
     "sebastian": "seb bastian", "seraphina": "sera fina", "stephanie": "steph stevie", "stephen": "steve stevie", "susannah": "susie sue zuzu",
     "tabitha": "tabby bitha", "theodore": "theo ted teddy", "thomas": "tom tommy", "timothy": "tim timmo", "umberto": "berto umbo", "ursula": "ursa ulla",
     "valentina": "val tina", "veronica": "ronnie vero", "victoria": "tori vicky vic", "vincent": "vince vinny", "walter": "walt wally",
     "wilhelmina": "mina willa billie", "william": "will bill billy", "winifred": "winnie freda", "xavier": "xavi zavy zav", "ximena": "mena xime",
-    "yevgenia": "zhenya genya", "yolanda": "yoli landa", "zachary": "zach zack", "zebedee": "zeb", "zephaniah": "zeph zeff",
+    "yevgenia": "zhenya genya", "yolanda": "yoli landa", "zachary": "zach zack zak", "zebedee": "zeb zed", "zephaniah": "zeph zeff",
 }
 # What isn't part of a name.
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof sir dame".split())
@@ -60,6 +60,7 @@ NOBODY = frozenset(
 
 _LEAD = re.compile(r"^(?:©|\(c\)|photo(?:graph)?(?:y|er|s)?\s*(?:by\b|:|-|–)|photo\s+(?=[A-Z])|credits?\s*[:\-–]|courtesy of\b|by\b|styled by\b|©\s*)\s*", re.I)
 _ROLE = re.compile(r"\s*[(\[][^)\]]*[)\]]\s*$")
+_LEGAL_END = re.compile(r"[\s,]+(?:GmbH|LLC|Ltd|Inc|PLC|(?:Pty )?Ltd)\.?$", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SHORT_FORMS = {short: [f for f, forms in FAMILIAR.items() if short in forms.split()] for forms in FAMILIAR.values() for short in forms.split()}
 
@@ -88,7 +89,7 @@ def deletes(token: str, least: int = 5) -> list[str]:
 
 def kind_of(word: str) -> str | None:
     """The kind of organisation that a word, whole, mistyped or abbreviated, names."""
-    w = word.rstrip(".")
+    w = "studio" if word == "st." else word.rstrip(".")
     bones = w[:1] + re.sub("[aeiou]", "", w[1:])
     for kind in KINDS:
         full = kind[:1] + re.sub("[aeiou]", "", kind[1:])
@@ -166,6 +167,7 @@ class Reader:
         return []
 
     def _organisation(self, text: str) -> list[tuple[str, str, str]]:
+        text = _LEGAL_END.sub("", text)
         words = [w for w in re.split(r"\s*[&+]\s*|\s+and\s+|[\s/,\-]+", _CAMEL.sub(" ", text)) if w]
         low = [w.lower() for w in words]
         together = bool(re.search(r"[&+]|\band\b", text, re.I))
@@ -194,7 +196,7 @@ class Reader:
             spread += [w[0]] if letters else [re.sub(r"[^a-z.]", "", w.replace("0", "o"))]
         words = [w for w in spread if w and w.rstrip(".") not in HONORIFICS | GENERATIONS]
         # a short word between two others that is a particle, or one edit from it, isn't the name
-        words = [w for i, w in enumerate(words) if i == 0 or not (w in PARTICLES or (i + 1 < len(words) and 2 <= len(w) <= 3 and any(near(w, p) for p in PARTICLES)))]
+        words = [w for i, w in enumerate(words) if i == 0 or not (w in PARTICLES or (i + 1 < len(words) and 2 <= len(w) <= 4 and any(near(w, p) for p in PARTICLES if len(p) >= len(w) - 1)))]
         while len(words) > 2 and (words[0] in PARTICLES or (not self.is_given(words[0]) and len(words[0]) == 2 and "." not in words[0])):
             words = words[1:]
         if not words:
@@ -282,7 +284,8 @@ def linked_spellings(spellings: DataFrame, name: str) -> DataFrame:
                         if whole:
                             rows.append(("same", f"g\x1f{bare_}\x1f{d}", n, g, k))
                         rows += [("short", f"{a}\x1f{d}", n, g, k) for a in short]
-                        if whole and (len(bare_) > 5 or bare_ in FAMILIAR):
+                        # a familiar form is no full name to be short for
+                        if whole and (bare_ in FAMILIAR or (len(bare_) > 5 and bare_ not in _SHORT_FORMS)):
                             rows += [("full", f"{h}\x1f{d}", n, g, k) for h in _hints(bare_)]
                     if whole:
                         rows += [("same", f"k\x1f{k}\x1f{d}", n, g, k) for d in deletes(bare_)]
