@@ -39,7 +39,7 @@ def test_set_pairs_against_brute_force(spark, crowd):
 
 def test_records_classes_and_dirt(spark):
     rows = [
-        (1, ["A ", "b", "c", None], ["d", "e", ""]), (2, ["a", "B", "c", "d"], ["e", "e"]), (3, None, None), (4, [], ["x"]), (5, ["a", "b", "c", "d"], ["e", "f"]), (1, ["A ", "b", "c", None], ["d", "e", ""]),
+        (1, ["A ", "b", "c", None], ["d", "e", ""]), (2, ["a", "B", "c", "d"], ["e", "e"]), (3, None, None), (4, [], ["x"]), (5, ["a", "b", "c", "d"], ["e", "f"]), (1, ["A ", "b", "c", None], ["d", "e", ""]), (None, ["a", "b", "c", "d"], ["e"]),
     ]
     df = spark.createDataFrame(rows, "k long, t array<string>, m array<string>")
     members, pairs = similar_records(df, "k", ["t", "m"])
@@ -73,11 +73,12 @@ def test_vectors_against_brute_force(spark):
 
 
 def test_vectors_equal_and_few(spark):
-    same = spark.range(40).select("id", F.lit(1).alias("grp"), F.array(*(F.lit(float(i)) for i in range(8))).cast("array<float>").alias("v"))
+    same = spark.range(41).select(F.when(F.col("id") < 40, F.col("id")).alias("id"), F.lit(1).alias("grp"), F.array(*(F.lit(float(i)) for i in range(8))).cast("array<float>").alias("v"))
     got = {(r["vec_a"], r["vec_b"]) for r in similar_vectors(same, k=2).collect()}
     assert (0, 1) in got and (0, 2) in got and all(a in (0, 1) for a, _ in got)
     assert similar_vectors(same.limit(0)).count() == 0
     assert similar_vectors(same.limit(1)).count() == 0
+    assert similar_vectors(same.withColumn("v", F.lit(None).cast("array<float>"))).count() == 0
 
 
 def test_usable_vectors(spark):

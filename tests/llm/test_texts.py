@@ -68,7 +68,7 @@ def test_packing_beats_first_fit(spark):
 def test_packing_a_table(spark):
     rng = random.Random(4)
     items = [(i, rng.choice([0, 2048, 2049, 9000, *(rng.randrange(1, 1200) for _ in range(6))]), "clash") for i in range(4000)] + [(5000, None, "clash")]
-    df = spark.createDataFrame(items, "doc_id long, tokens int, container string")
+    df = spark.createDataFrame([*items, (None, 5, "clash")], "doc_id long, tokens int, container string")
     rows = pack(df, "doc_id", "tokens", 2048).collect()
     per_doc, per_bin = {}, {}
     for r in rows:

@@ -128,11 +128,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     ``key`` is a long and unique, below 2**47 and not negative.  An item is one part unless it exceeds the capacity; then it
     is cut into full parts, each a container of its own, and a rest that is packed like any
     item.  ``first`` is the part's offset in its item.  Items of null, zero or negative size
-    need no room: they come out with a null container_id and size 0.  No item gives an empty
+    need no room: they come out with a null container_id and size 0.  Items without a key are left out.  No item gives an empty
     result; other columns are ignored.
     """
     ws = Workspace(items.sparkSession, "packing")
-    rows = items.select(F.col(key).cast("long").alias("key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    rows = items.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     none = rows.filter("n = 0").selectExpr("cast(null as long) container_id", "key", "1 part", "0L first", "0L tokens")
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("k")
     parts = rows.filter("n > 0").select("key", "n", at).select(

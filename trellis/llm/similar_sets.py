@@ -105,12 +105,12 @@ def record_sets(records: DataFrame, key: str, arrays: list[str], least_terms: in
     """(key, terms): the set of each record.
 
     Terms are trimmed and lower-cased; null, blank and repeated ones don't count.  Records of
-    fewer than ``least_terms`` terms are left out.  Rows of one key count once.
+    fewer than ``least_terms`` terms are left out, and so are those without a key.  Rows of one key count once.
     """
     trimmed = lambda t: F.regexp_replace(F.lower(t), r"(?U)^\s+|\s+$", "")
     parts = [F.coalesce(F.transform(a, trimmed), F.array().cast("array<string>")) for a in arrays]
     terms = F.array_sort(F.array_distinct(F.filter(F.concat(*parts), lambda t: t.isNotNull() & (t != ""))))
-    return records.select(key, terms.alias("terms")).filter(F.size("terms") >= least_terms).dropDuplicates([key])
+    return records.select(key, terms.alias("terms")).filter((F.size("terms") >= least_terms) & F.col(key).isNotNull()).dropDuplicates([key])
 
 
 def similar_records(records: DataFrame, key: str, arrays: list[str], threshold: float = 0.8, least_terms: int = 5) -> tuple[DataFrame, DataFrame]:
