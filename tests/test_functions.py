@@ -123,3 +123,15 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "k long, v array<float>")
     back = from_blob(to_blob(df, "k", "v"), 2).collect()
     assert [(r["key"], r["pos"], r["vector"]) for r in back] == [(1, 0, [1.0, 2.0])]
+
+
+def test_images(spark):
+    from trellis.functions.image import entropy, sharpness, tidy
+
+    flat, board = [128.0] * 64, [255.0 * ((i // 8 + i) % 2) for i in range(64)]
+    df = spark.createDataFrame([(1, flat), (2, board), (3, None), (4, [1.0])], "id long, p array<double>")
+    got = {r["id"]: (r["s"], r["e"]) for r in df.select("id", sharpness("p").alias("s"), entropy("p").alias("e")).collect()}
+    assert got[1] == (0.0, 0.0) and got[2][0] > 1e5 and got[2][1] == pytest.approx(1.0)
+    assert got[3] == (None, None) and got[4] == (None, 0.0)
+    rgb = spark.createDataFrame([([100.0, 100.0, 100.0] * 16,), (None,), ([1.0],)], "p array<double>").select(tidy("p").alias("t")).collect()
+    assert rgb[0]["t"] == pytest.approx([100 * 1.02 * 1.03 - 3] * 48) and rgb[1]["t"] is None and rgb[2]["t"] is None

@@ -243,6 +243,16 @@ def _frames(spark, d):
     return e.select((F.floor(F.col("vec_id") / 50) * 10 + F.col("label")).cast("bigint").alias("video"), "vec_id", fp.alias("fp"), F.abs(F.col("embedding")[0]).cast("double").alias("sharpness"), score.alias("overall"))
 
 
+@query()
+def frame_stats(spark, d):
+    """Sharpness and entropy of grey 8 x 8 images made from embeddings."""
+    from trellis.functions.image import entropy, sharpness
+
+    pixels = F.transform("embedding", lambda x: x.cast("double") * 128 + 128)
+    e = load(spark, d, "embeddings").select("vec_id", pixels.alias("p"))
+    return e.select("vec_id", F.round(sharpness("p"), 3).alias("sharpness"), F.round(entropy("p"), 3).alias("entropy"))
+
+
 @query()
 def scene_cluster(spark, d):
     return frames.scenes(_frames(spark, d), "video", "vec_id", "fp", 24).select("video", "vec_id", "scene")
