@@ -81,6 +81,25 @@ def test_vectors_equal_and_few(spark):
     assert similar_vectors(same.withColumn("v", F.lit(None).cast("array<float>"))).count() == 0
 
 
+def test_vectors_in_crowds(spark):
+    # a third copies and near copies: 700 copies of one vector, 700 near copies of another
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4200, 24))
+    x[:700] = x[0]
+    x[700:1400] = x[700] + 0.1 * rng.standard_normal((700, 24))
+    x = x.astype("f4")[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, 1, [float(c) for c in v]) for i, v in enumerate(x)], "id long, grp int, v array<float>")
+    found = {(r["vec_a"], r["vec_b"]) for r in similar_vectors(df).collect()}
+    u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    true = set()
+    for i in range(len(x)):
+        near = [j for j in np.flatnonzero(s[i] >= 0.8) if j != i]
+        true |= {(min(i, int(j)), max(i, int(j))) for j in sorted(near, key=lambda j: (-s[i, j], j))[:5]}
+    assert len(found & true) / len(true) >= 0.99
+    assert len(found - true) <= 0.01 * len(true)
+
+
 def test_usable_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 2.0]), (2, None), (3, []), (4, [1.0]), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0])]
