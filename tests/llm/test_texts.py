@@ -166,6 +166,21 @@ def test_spellings(spark):
     assert linked_spellings(df.limit(0), "name").count() == 0
 
 
+def linked_of(spark, names):
+    groups = {}
+    for r in linked_spellings(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect():
+        groups.setdefault(r["group_id"], set()).add(r["spelling"])
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def test_short_given_names_are_full(spark):
+    one = ["Maria Rossi", "M. Rossi"]
+    two = ["Peter Holmgard", "Pet. Holmgard", "P. Holmgard"]
+    # Anna has families without an Annabel, so it is no short form of one
+    alone = ["Anna Vodu", "Alma Vodu", "A. Vodu", "Anna Keller", "Annabel Keller", "Anna Stroem", "Anna Bergen"]
+    assert linked_of(spark, one + two + alone) == {frozenset(one), frozenset(two)}
+
+
 def test_reading_names():
     r = Reader({"anna"})
     assert r.read("van Dorlo, Anna") == [("person", "anna", "dorlo")]

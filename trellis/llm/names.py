@@ -232,12 +232,12 @@ def _hints(given: str) -> list[str]:
 
 
 def _asks(given: str, known: set[str]) -> list[str]:
-    """What a short form looks for; none for a given name in full."""
+    """What a short form looks for; none for a given name in full, such as those of ``known``."""
     g = given.rstrip(".")
     if len(g) == 1:
         return ["i:" + g]
     asks = ["f:" + f for f in _SHORT_FORMS.get(g, ())]
-    if given.endswith(".") or (g not in FAMILIAR and len(g) <= 5):
+    if given.endswith(".") or (g not in FAMILIAR and g not in known and len(g) <= 5):
         asks.append("p:" + g[:3] if len(g) >= 3 else "p:" + g)
         if not given.endswith(".") and len(g) >= 3:
             asks.append("s:" + g[-4:] if len(g) >= 4 else "s:" + g)
@@ -256,9 +256,17 @@ def linked_spellings(spellings: DataFrame, name: str) -> DataFrame:
     bare = F.regexp_replace(F.col(name), r"(?U)^\s+|\s+$", "")
     distinct = ws.save(spellings.select(bare.alias("spelling")).filter("spelling <> ''").distinct())
     # given names: words before many different family names; they are a language's, not the rows'
-    counted = distinct.mapInArrow(_first_words, "word string, rest string").distinct().groupBy("word").count().filter("count >= 3")
+    words = ws.save(distinct.mapInArrow(_first_words, "word string, rest string").distinct())
+    counted = words.groupBy("word").count().filter("count >= 3")
     given = {r["word"] for r in counted.select("word").toLocalIterator()}
     sent = spark.sparkContext.broadcast(given)
+    # short ones are names in full, not short forms, if most of their families have no longer name they could stand for
+    longer = words.select(F.col("word").alias("long"), "rest")
+    shorter = words.filter("length(word) <= 5").join(longer, "rest")
+    shorter = shorter.filter((F.length("long") >= F.length("word") + 2) & (F.col("long").startswith(F.col("word")) | F.col("long").endswith(F.col("word"))))
+    covered = shorter.groupBy("word").agg(F.count_distinct("rest").alias("covered"))
+    own = counted.filter("length(word) <= 5").join(covered, "word", "left").filter("coalesce(covered, 0) * 2 < count")
+    full = spark.sparkContext.broadcast({r["word"] for r in own.select("word").toLocalIterator()})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value)
@@ -272,7 +280,7 @@ def linked_spellings(spellings: DataFrame, name: str) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(role, place, node, given, key): where each node of a person or an organisation is met."""
-        known = sent.value
+        known = full.value
         for batch in batches:
             rows = []
             for n, c, g, k in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -285,7 +293,7 @@ def linked_spellings(spellings: DataFrame, name: str) -> DataFrame:
                             rows.append(("same", f"g\x1f{bare_}\x1f{d}", n, g, k))
                         rows += [("short", f"{a}\x1f{d}", n, g, k) for a in short]
                         # a familiar form is no full name to be short for
-                        if whole and (bare_ in FAMILIAR or (len(bare_) > 5 and bare_ not in _SHORT_FORMS)):
+                        if whole and (bare_ in FAMILIAR or bare_ not in _SHORT_FORMS):
                             rows += [("full", f"{h}\x1f{d}", n, g, k) for h in _hints(bare_)]
                     if whole:
                         rows += [("same", f"k\x1f{k}\x1f{d}", n, g, k) for d in deletes(bare_)]
@@ -346,11 +354,19 @@ def linked_spellings(spellings: DataFrame, name: str) -> DataFrame:
     untyped = untyped.select(F.when(bare_first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(bare_first, F.col("b")).otherwise(F.col("a")).alias("b"), "price")
     loose = ws.save(shorts.unionByName(untyped))
     level = (F.col("price") / 10).cast("int")
-    best = loose.groupBy("a").agg(F.min(level).alias("level"))
-    fits = loose.join(best, "a").filter(level == F.col("level")).join(first.withColumnRenamed("id", "b"), "b")
-    one = fits.groupBy("a").agg(F.min("group_id").alias("to"), F.max("group_id").alias("also"), F.min("b").alias("b")).filter(F.col("to") == F.col("also"))
-    more = one.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    every = ws.save(edges.unionByName(more))
+
+    def fitting(loose: DataFrame, groups: DataFrame) -> DataFrame:
+        """(src, dst) of those that fit one group best."""
+        best = loose.groupBy("a").agg(F.min(level).alias("level"))
+        fits = loose.join(best, "a").filter(level == F.col("level")).join(groups.withColumnRenamed("id", "b"), "b")
+        one = fits.groupBy("a").agg(F.min("group_id").alias("to"), F.max("group_id").alias("also"), F.min("b").alias("b")).filter(F.col("to") == F.col("also"))
+        return one.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    # a short word may be a name in full or a short form; initials and abbreviations choose once that is settled
+    cut = F.split("a", "\x1f")[1].eqNullSafe("person") & ((F.length(F.split("a", "\x1f")[2]) == 1) | F.split("a", "\x1f")[2].endswith("."))
+    settled = ws.save(edges.unionByName(fitting(loose.filter(~cut), first)))
+    more = fitting(loose.filter(cut), ws.save(connected_components(settled)))
+    every = ws.save(settled.unionByName(more))
     groups = connected_components(every).filter(~F.col("id").startswith("\x1f"))
     out = groups.select(F.col("id").alias("spelling"), "group_id")
     return out
