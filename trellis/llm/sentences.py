@@ -5,10 +5,11 @@ follow an unambiguous end, and what follows each word that ends in a period.  Lo
 ratios then name
 
 * sentence starters: words met at the start of a unit far more often than elsewhere,
-* abbreviations: words whose period ends a paragraph too rarely, or is followed too often by
-  what doesn't start a sentence, to be ends like any other; those whose capitalised followers
-  are hardly ever starters are title-like, such as "Dr.",
-* collocations: words that follow a number with a period too often for chance ("5. Mai").
+* abbreviations: words whose period is followed far more often than a true end by what doesn't
+  start a sentence, or hardly ever ends a paragraph; those whose capitalised followers are
+  hardly ever starters, or that never end anything, are title-like, such as "Dr.",
+* collocations: words that follow a number with a period too often for chance ("5. Mai"),
+* common words: openers that are written small elsewhere, which part "J. Smith" from "J. The".
 
 A second pass cuts each text.  Blocks are parted by blank lines; list items and timed lines are
 units of their own.  Within a block each period is classified by the learned statistics, other
@@ -19,6 +20,7 @@ Thai, which has no period, is cut at spaces, by starters where a space follows a
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +32,14 @@ from trellis.runtime import Workspace
 
 ANY = "*"
 NUMBER = "##"
-#: 0.1 % and 1 % points of the chi-square distribution with one degree of freedom.
-SURE, LIKELY = 10.83, 6.63
+#: 1 % point of the chi-square distribution with one degree of freedom.
+LIKELY = 6.63
+#: Least share of its language's starts, periods or numbers that a learned word has.
+LEAST_SHARE = 1 / 20_000
 
 # Punctuation of the scripts covered.
-STOPS = ".!?…。！？।؟"
+STOPS = ".!?…。！？।؟۔॥።။។։｡．"
+FIRM = "。！？।؟۔॥።။។։｡．"
 OPEN_CLOSE = {"(": ")", "（": "）", "[": "]", "«": "»", "「": "」", "『": "』", "《": "》", "“": "”", "„": "“"}
 CLOSING = ")）]»」』》”“\""
 CLOSERS = set(CLOSING)
@@ -45,7 +50,9 @@ _TOKEN = re.compile(r"\S+")
 _BULLET = re.compile(r"\s*[-*•–—▪◦‣·]\s")
 _NUMBERED = re.compile(r"\s*(?:\d{1,3}(?:\.\d{1,3})*[.)]|\d{1,3}(?:\.\d{1,3})+|\(?[a-zA-Z0-9]\))\s")
 _TIMED = re.compile(r"\s*\[?\d+(?:[.:]\d+)*\s*[–—-]\s*\d+(?:[.:]\d+)*\s*s?\]?\s*:")
-_STOP = re.compile(r"[.!?…。！？।؟]+")
+_STOP = re.compile(f"[{STOPS}]+")
+_TOKEN_END = re.compile(rf"(\S*?)([{STOPS}]+)([{re.escape(CLOSING)}]*)(?=\s|\Z)")
+_UNSPACED_START = re.compile(r"(?:\A|[。！？])([぀-ヿ㐀-鿿]{2})")
 _INITIALS = re.compile(r"(?:[^\W\d_]\.[-‐]?)+")
 _NUMERIC = re.compile(r"[\d.,:/]*\d[\d.,:/]*")
 _PAIRED = re.compile("[" + re.escape("".join({*OPEN_CLOSE, *OPEN_CLOSE.values(), '"'})) + "]")
@@ -63,9 +70,18 @@ def unspaced(ch: str) -> bool:
     return "぀" <= ch <= "ヿ" or "㐀" <= ch <= "鿿" or "豈" <= ch <= "﫿"
 
 
+def composed(token: str) -> str:
+    """With its accents as one letter each."""
+    return token if token.isascii() else unicodedata.normalize("NFC", token)
+
+
 def word_type(token: str) -> str:
-    """What counts as one word: lower case without punctuation around; numbers are all alike."""
-    core = token.strip(OPENERS + CLOSING + ",;:" + STOPS)
+    """What counts as one word: lower case without punctuation around; numbers are all alike.
+
+    Scripts that don't part words have none to count; there it is the opening, of five letters
+    in Thai and two in Chinese and Japanese.
+    """
+    core = composed(token).strip(OPENERS + CLOSING + ",;:" + STOPS)
     if not core:
         return ""
     if any(c.isdigit() for c in core):
@@ -74,15 +90,18 @@ def word_type(token: str) -> str:
         return core[:5]
     if unspaced(core[0]):
         return core[:2]
-    return core.lower()[:24]
+    return core.lower()
 
 
 def period_type(token: str) -> str:
-    """The word before a single final period, inner periods kept."""
-    core = token.lstrip(OPENERS)[:-1]
+    """The word before a single final period; inner periods are kept between single letters ("p.m", "j.-p")."""
+    core = composed(token).lstrip(OPENERS)[:-1]
     if _NUMERIC.fullmatch(core):
         return NUMBER
-    return core.lower()[-24:] if not any(c.isdigit() for c in core) else "#"
+    if any(c.isdigit() for c in core):
+        return "#"
+    parts = core.split(".")
+    return (core if all(len(p.lstrip("-‐")) <= 2 for p in parts) else parts[-1]).lower()
 
 
 def blocks(text: str) -> Iterator[tuple[str, int, int]]:
@@ -148,8 +167,14 @@ def outermost(closes: dict[int, int]) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- statistics
 
 
-def count_text(text: str, lang: str, counts: Counter, types: dict[str, str] | None = None) -> None:
-    """Adds one text's counts: (lang, kind, word, follower, capital) -> number.
+def case_of(token: str) -> str:
+    """U, l or o: whether the first letter is a capital, a small one, or has no case."""
+    first = token[:1]
+    return "U" if first.isupper() else "l" if first.islower() else "o"
+
+
+def count_text(text: str, lang: str, counts: Counter, tokens: dict[str, Counter], types: dict[str, str] | None = None) -> None:
+    """Adds one text's counts: (lang, kind, word, follower, case) -> number, and its tokens by language.
 
     ``types`` remembers the word types of tokens from text to text.
     """
@@ -161,60 +186,76 @@ def count_text(text: str, lang: str, counts: Counter, types: dict[str, str] | No
             word = types[token] = word_type(token)
         return word
 
+    def opens(token: str) -> None:
+        if word_of(token):
+            counts[lang, "start", word_of(token), "", case_of(token.lstrip(OPENERS))] += 1
+
     for kind, start, end in blocks(text):
         if kind != "prose":
             continue
-        spans = [(m.group(), m.start()) for m in _TOKEN.finditer(text, start, end)]
-        tokens = [t for t, _ in spans]
-        quoted = outermost(pairs(text, start, end))
-        at = 0
-        fresh = True  # at an unambiguous start
-        for i, (token, place) in enumerate(spans):
-            word = word_of(token)
-            if not word:
-                continue
-            while at < len(quoted) and quoted[at][1] < place:
+        words = text[start:end].split()
+        tokens.setdefault(lang, Counter()).update(words)
+        opens(words[0])
+        if _THAI.search(text, start, end):
+            for before, token in zip(words, words[1:]):
+                if thai(token[0]):
+                    if thai(before[-1]):
+                        opens(token)
+                    else:
+                        counts[lang, "inside", word_of(token), "", "o"] += 1
+        if any(unspaced(c) for c in words[0][:2]):
+            for m in _UNSPACED_START.finditer(text, start, end):
+                counts[lang, "start", m.group(1), "", "o"] += 1
+                counts[lang, "word", m.group(1), "", "o"] += 1
+        quoted, at = None, 0
+        for m in _TOKEN_END.finditer(text, start, end):
+            if quoted is None:
+                quoted = outermost(pairs(text, start, end))
+            stop = m.start(2)
+            while at < len(quoted) and quoted[at][1] < stop:
                 at += 1
-            if at < len(quoted) and quoted[at][0] < place:
-                # what is quoted ends no unit
-                counts[lang, "word", word, "", False] += 1
-                fresh = False
-                continue
-            counts[lang, "word", word, "", False] += 1
-            if fresh or (i and thai(word[0]) and thai(tokens[i - 1][-1])):
-                counts[lang, "start", word, "", False] += 1
-            elif i and thai(word[0]):
-                counts[lang, "inside", word, "", False] += 1
-            bare = token.rstrip(CLOSING)
-            fresh = bare == token and bare[-1] in "!?।؟" and len(bare) > 1
-            if bare[-1] in STOPS and i + 1 == len(tokens):
-                counts[lang, "stop", "", "", True] += 1
-            elif bare[-1] in "!?।؟":
-                counts[lang, "stop", "", "", False] += 1
-            if bare.endswith(".") and not bare.endswith(".."):
-                if i + 1 == len(tokens):
-                    counts[lang, "last", period_type(bare), "", False] += 1
+            if at < len(quoted) and quoted[at][0] < stop:
+                continue  # what is quoted ends no unit
+            follow = _TOKEN.search(text, m.end(), end)
+            if m.group(2) == ".":
+                word = period_type(m.group(1) + ".")
+                if not word:
                     continue
-                after = tokens[i + 1].lstrip(OPENERS)
-                counts[lang, "stop", "", "", False] += 1
-                counts[lang, "period", period_type(bare), word_of(after), after[:1].isupper()] += 1
-        if tokens and any(unspaced(c) for c in tokens[0][:2]):
-            for m in re.finditer(r"(?:^|[。！？])([぀-ヿ㐀-鿿]{2})", text[start:end]):
-                counts[lang, "start", m.group(1), "", False] += 1
-                counts[lang, "word", m.group(1), "", False] += 1
+                if follow is None:
+                    counts[lang, "last", word, "", "o"] += 1
+                else:
+                    after = follow.group().lstrip(OPENERS)
+                    counts[lang, "period", word, word_of(after), case_of(after)] += 1
+            elif follow is not None and not m.group(3) and m.group(2)[-1] != "." and m.group(1):
+                opens(follow.group())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["lang", "kind", "word", "after", "case", "n"]
+
+    def rows(counts: Counter, tokens: dict[str, Counter], types: dict[str, str]) -> pa.RecordBatch:
+        for lang, own in tokens.items():
+            for token, n in own.items():
+                word = types.get(token)
+                if word is None:
+                    word = types[token] = word_type(token)
+                if word:
+                    counts[lang, "word", word, "", "o"] += n
+                    if token.lstrip(OPENERS)[:1].islower():
+                        counts[lang, "lower", word, "", "l"] += n
+        keys = list(counts)
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(5)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([counts[k] for k in keys], pa.int64())], names=names)
+
+    counts, tokens, types = Counter(), {}, {}
     for batch in batches:
-        counts: Counter = Counter()
-        types: dict[str, str] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                count_text(text, lang or "", counts, types)
-        rows = list(counts)
-        columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(4)]
-        columns += [pa.array([r[4] for r in rows], pa.bool_()), pa.array([counts[r] for r in rows], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "word", "after", "capital", "n"])
+                count_text(text, lang or "", counts, tokens, types)
+        if len(counts) + len(types) > 200_000:
+            yield rows(counts, tokens, types)
+            counts, tokens, types = Counter(), {}, {}
+    yield rows(counts, tokens, types)
 
 
 def ratio(k: Column, n: Column, p: Column) -> Column:
@@ -228,61 +269,84 @@ def ratio(k: Column, n: Column, p: Column) -> Column:
 def learn(documents: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, kind, word): the starters, abbreviations, title-like ones and collocations found.
 
-    Counts cover every text whole.  Only words that pass a significance test are kept, so the
-    result is far smaller than the vocabulary.
+    Counts cover every text whole.  A word needs significance, corrected for the number of words
+    tested, an effect that doesn't depend on the size of the corpus, and a least share
+    (LEAST_SHARE) of its language's starts or periods; so a language has at most 1 / LEAST_SHARE
+    words of a kind, whatever the number of documents.  Numbers are never abbreviations; what
+    follows an ordinal is a collocation.
     """
-    counted = documents.select(text, F.coalesce(F.col(lang), F.lit("")).alias("lang")).mapInArrow(_count, "lang string, kind string, word string, after string, capital boolean, n long")
-    own = counted.groupBy("lang", "kind", "word", "after", "capital").agg(F.sum("n").alias("n"))
     ws = Workspace(documents.sparkSession, "sentences")
-    own = ws.save(own)
-    every = own.groupBy("kind", "word", "after", "capital").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ANY))
+    counted = documents.select(text, F.coalesce(F.col(lang), F.lit("")).alias("lang")).mapInArrow(_count, "lang string, kind string, word string, after string, case string, n long")
+    own = ws.save(counted.groupBy("lang", "kind", "word", "after", "case").agg(F.sum("n").alias("n")))
+    every = own.groupBy("kind", "word", "after", "case").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ANY))
     counts = ws.save(own.unionByName(every))
-    of = lambda kind: counts.filter(F.col("kind") == kind)
-    words = of("word").groupBy("lang", "word").agg(F.sum("n").alias("all"))
-    starts = of("start").groupBy("lang", "word").agg(F.sum("n").alias("at"))
-    inside = of("inside").groupBy("lang", "word").agg(F.sum("n").alias("inside"))
-    rates = words.groupBy("lang").agg(F.sum("all").alias("words")).join(starts.groupBy("lang").agg(F.sum("at").alias("starts")), "lang")
-    scored = starts.join(words, ["lang", "word"]).join(inside, ["lang", "word"], "left").join(rates, "lang").filter(F.col("word") != NUMBER)
-    rate = F.col("starts") / F.col("words")
-    starter = (
-        (F.col("at") >= 2) & (F.col("at") / F.col("all") > rate) & (ratio(F.col("at"), F.col("all"), rate) > LIKELY)
-        & (F.col("at") > F.coalesce("inside", F.lit(0)))
+    of = lambda *kinds: counts.filter(F.col("kind").isin(*kinds))
+    when = lambda kind, extra=F.lit(True): F.sum(F.when((F.col("kind") == kind) & extra, F.col("n")).otherwise(0))
+    words = of("word", "lower", "start", "inside").groupBy("lang", "word").agg(
+        when("word").alias("all"), when("lower").alias("lower"), when("start").alias("at"), when("start", F.col("case") == "l").alias("small"), when("inside").alias("inside")
     )
-    starters = ws.save(scored.filter(starter).select("lang", "word"))
-    follow = of("period").join(starters.withColumnRenamed("word", "after").withColumn("starts", F.lit(1)), ["lang", "after"], "left")
-    known = F.col("capital") & F.col("starts").isNotNull()
-    use = follow.groupBy("lang", "word").agg(
-        F.sum("n").alias("mid"),
-        F.sum(F.when(known | (~F.col("capital") & F.col("starts").isNotNull() & F.col("after").rlike(r"^[^\x00-ɏ]")), F.col("n")).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("capital"), F.col("n")).otherwise(0)).alias("capitals"),
-        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("good_capitals"),
+    words = ws.save(words.filter(F.col("word") != NUMBER))
+    rates = words.groupBy("lang").agg(F.sum("all").alias("words"), F.sum("at").alias("starts"))
+    rate = F.col("starts") / F.col("words")
+    scored = words.filter("at >= 2").join(rates, "lang").filter((F.col("at") >= LEAST_SHARE * F.col("starts")) & (F.col("at") > F.col("inside")))
+    odds = lambda p: p / F.greatest(1 - p, F.lit(1e-9))
+    starter = (odds(F.col("at") / F.col("all")) >= 1.5 * odds(rate)) & (ratio(F.col("at"), F.col("all"), rate) > LIKELY)
+    # what opens units and is written small elsewhere is a common word, no name
+    common = (F.col("lower") >= 0.2 * F.col("all")) & (F.col("at") / F.col("all") >= 0.2 * rate)
+    openers = scored.select("lang", "word", F.coalesce(starter, F.lit(False)).alias("starter"), common.alias("common"), (F.col("at") - F.col("small")).alias("fit"))
+    openers = ws.save(openers.filter("starter or common"))
+    # how often a true start looks odd: it opens with no starter, or with a small letter
+    fits = openers.groupBy("lang").agg(F.sum("fit").alias("fit"))
+    odd_rate = rates.join(fits, "lang", "left").select("lang", (1 - F.coalesce("fit", F.lit(0)) / F.greatest("starts", F.lit(1))).alias("odd_rate"))
+    follow = of("period").join(openers.select("lang", F.col("word").alias("after"), F.lit(1).alias("starts")), ["lang", "after"], "left")
+    known = F.col("starts").isNotNull() & (F.col("case") != "l")
+    total_of = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    use = follow.filter(F.col("word") != NUMBER).groupBy("lang", "word").agg(
+        F.sum("n").alias("mid"), total_of(known).alias("good"), total_of(F.col("case") == "U").alias("capitals"), total_of(F.col("case") == "l").alias("small"), total_of(known & (F.col("case") == "U")).alias("good_capitals")
     )
-    last = of("last").groupBy("lang", "word").agg(F.sum("n").alias("last"))
-    stops = of("stop").groupBy("lang").agg((F.sum(F.when(F.col("capital"), F.col("n")).otherwise(0)) / F.sum("n")).alias("end_rate"))
-    base = use.groupBy("lang").agg((F.sum(F.when(F.col("word") != NUMBER, F.col("mid") - F.col("good"))) / F.sum("mid")).alias("odd_rate"))
-    use = use.join(last, ["lang", "word"], "left").join(stops, "lang").join(base, "lang").fillna(0, ["last"])
-    odd = F.col("mid") - F.col("good")
-    total = F.col("mid") + F.col("last")
-    # half of the odd rate is a bound for ends: abbreviations make up most of it
-    odds = (odd / total >= 0.3) & (ratio(odd, total, F.least(F.col("odd_rate") / 2, F.lit(0.15))) > SURE)
-    never = (F.col("last") == 0) & (ratio(F.lit(0.0), total, F.col("end_rate")) > SURE)
+    last = of("last").filter(F.col("word") != NUMBER).groupBy("lang", "word").agg(F.sum("n").alias("last"))
+    use = use.join(last, ["lang", "word"], "left").fillna(0, ["last"]).withColumn("total", F.col("mid") + F.col("last"))
+    tested = use.groupBy("lang").agg(F.sum(F.when(F.col("mid") >= 3, 1).otherwise(0)).alias("tested"), F.sum("total").alias("periods"), (F.sum("last") / F.sum("total")).alias("end_rate"))
+    use = ws.save(use.join(tested, "lang").join(odd_rate, "lang"))
+    odd, total = F.col("mid") - F.col("good"), F.col("total")
+    strict = lambda n: 2 * F.log(F.greatest(n, F.lit(1)) / 0.05)
+    strange = (odd / total >= 0.25) & (odd / total >= F.least(2 * F.col("odd_rate"), F.lit(0.7))) & (ratio(odd, total, F.col("odd_rate")) > strict(F.col("tested")))
+    # a word whose period hardly ever ends a paragraph, where those of its language often do
+    never = (F.col("last") <= 0.1 * F.col("end_rate") * total) & (ratio(F.col("last"), total, F.col("end_rate")) > strict(F.col("tested")))
     # a language's verdicts are about its own words, not those of passages in another language
-    everywhere = use.filter(F.col("lang") == ANY).select("word", total.alias("everywhere"))
-    abbreviations = use.filter(odds | never).join(everywhere, "word").filter(total >= 0.3 * F.col("everywhere"))
-    title = (F.col("capitals") >= 0.9 * F.col("mid")) & (F.col("good_capitals") / F.greatest(F.col("capitals"), F.lit(1)) < 0.3)
-    pairs_ = of("period").filter((F.col("word") == NUMBER) & F.col("capital")).groupBy("lang", "after").agg(F.sum("n").alias("both"))
-    chance = pairs_.join(words.withColumnRenamed("word", "after"), ["lang", "after"])
-    numbers = of("period").filter(F.col("word") == NUMBER).groupBy("lang").agg(F.sum("n").alias("numbers"))
-    totals = words.groupBy("lang").agg(F.sum("all").alias("words"))
-    chance = chance.join(numbers, "lang").join(totals, "lang")
-    together = (F.col("both") >= 2) & (F.col("both") / F.col("all") >= 0.2) & (ratio(F.col("both"), F.col("all"), F.col("numbers") / F.col("words")) > SURE)
+    everywhere = use.filter(F.col("lang") == ANY).select("word", F.col("total").alias("everywhere"))
+    abbreviations = ws.save(use.filter((strange | never) & (F.col("total") >= LEAST_SHARE * F.col("periods"))).join(everywhere, "word").filter(total >= 0.3 * F.col("everywhere")))
+    # in a script without case, what never ends a paragraph ends no unit
+    uncased = (F.col("capitals") + F.col("small")) == 0
+    title = ((F.col("capitals") >= 0.9 * F.col("mid")) & ((F.col("good_capitals") / F.greatest(F.col("capitals"), F.lit(1)) < 0.4) | never)) | (uncased & never)
+    # an abbreviation of all languages together that is a word like any other in one of them
+    shared = abbreviations.filter(F.col("lang") == ANY).select("word")
+    plain = use.filter((F.col("total") >= 20) & (odd / total < 0.2) & (F.col("last") > 0) & (F.col("last") >= 0.5 * F.col("end_rate") * total)).join(shared, "word", "left_semi")
+    # ordinals: the number's period is followed by the word far more often than its share of all words
+    numbers = of("period").filter(F.col("word") == NUMBER)
+    both = numbers.groupBy("lang", F.col("after").alias("word")).agg(F.sum("n").alias("both"))
+    chance = both.join(words, ["lang", "word"]).join(numbers.groupBy("lang").agg(F.sum("n").alias("numbers")), "lang").join(rates, "lang").join(tested, "lang")
+    after_number, expected = F.col("both") / F.col("all"), F.col("numbers") / F.col("words")
+    # what opens units after other ends as well is no part of the ordinal
+    opener = F.col("at") / F.greatest(F.col("all") - F.col("both"), F.lit(1))
+    together = (
+        (F.col("both") >= 3) & (after_number >= 0.3) & (after_number >= 5 * expected) & (opener < 0.5) & (F.col("at") < F.col("both"))
+        & (F.col("both") >= LEAST_SHARE * F.col("numbers")) & (ratio(F.col("both"), F.col("all"), expected) > strict(F.col("tested")))
+    )
+    # a language that goes on in small letters after numbers far more often than after other ends has ordinals
+    small = words.groupBy("lang").agg((F.sum("small") / F.greatest(F.sum("at"), F.lit(1))).alias("small"))
+    goes_on = numbers.groupBy("lang").agg(F.sum(F.when(F.col("case") == "l", F.col("n")).otherwise(0)).alias("on"), F.sum("n").alias("numbers")).join(small, "lang")
+    ordinal = (F.col("on") >= 3) & (F.col("on") / F.col("numbers") >= 3 * F.col("small")) & (ratio(F.col("on"), F.col("numbers"), F.col("small")) > LIKELY)
     out = (
-        starters.select("lang", F.lit("starter").alias("kind"), "word")
+        openers.filter("starter").select("lang", F.lit("starter").alias("kind"), "word")
+        .unionByName(goes_on.filter(ordinal).select("lang", F.lit("ordinal").alias("kind"), F.lit(NUMBER).alias("word")))
+        .unionByName(openers.filter("common").select("lang", F.lit("common").alias("kind"), "word"))
         .unionByName(abbreviations.select("lang", F.when(title, "title").otherwise("abbreviation").alias("kind"), "word"))
-        .unionByName(chance.filter(together).select("lang", F.lit("collocation").alias("kind"), F.col("after").alias("word")))
+        .unionByName(plain.select("lang", F.lit("plain").alias("kind"), "word"))
+        .unionByName(chance.filter(together).select("lang", F.lit("collocation").alias("kind"), "word"))
     )
     out = ws.save(out)
-    for df in (own, counts, starters):
+    for df in (own, counts, words, openers, use, abbreviations):
         ws.drop(df)
     return out
 
@@ -300,12 +364,10 @@ class Splitter:
         return word in self.model.get((lang, kind), ()) or word in self.model.get((ANY, kind), ())
 
     def short(self, lang: str, word: str) -> str | None:
-        """title, abbreviation or None; a language's own verdict comes first."""
-        for where in (lang, ANY):
-            for kind in ("title", "abbreviation"):
-                if word in self.model.get((where, kind), ()):
-                    return kind
-        return None
+        """title, abbreviation or None: of the language itself, or of all unless the word is plain there."""
+        if word in self.model.get((lang, "plain"), ()):
+            return None
+        return next((kind for kind in ("title", "abbreviation") if self.has(lang, kind, word)), None)
 
     def ends(self, text: str, start: int, end: int, lang: str) -> list[int]:
         """Where units of the prose block end, the block's own end left out."""
@@ -406,7 +468,7 @@ class Splitter:
             return False
         if "…" in run or run.startswith(".."):
             return (first.isupper() or first.isdigit()) and spaced and text[stop:end].lstrip()[:1] not in "¿¡"
-        if run[-1] in "。！？।":
+        if run[-1] in FIRM and run[-1] != "؟":
             return True
         if run != ".":
             if spaced:
@@ -427,21 +489,24 @@ class Splitter:
             return bool(first.isupper() and ((plain and worded) or counted) and _BROKEN.match(rest) and not rest[1:2].isupper() and self.short(lang, before.lower()) != "title")
         if len(before) == 1 and before.isalpha() and re.match(r"\s*[^\W\d_]\.", text[stop:end]):
             return False  # initials in a row, "z. B."
-        kind = self.short(lang, period_type(before + "."))
+        word_before = period_type(before + ".")
         starter = self.has(lang, "starter", word)
-        if period_type(before + ".") == NUMBER and first.isupper() and self.has(lang, "collocation", word):
-            return starter
+        if word_before == NUMBER:
+            if self.has(lang, "collocation", word):
+                return starter and first.isupper()
+            return starter or not first.islower() or NUMBER not in self.model.get((lang, "ordinal"), ())
+        kind = self.short(lang, word_before)
+        if _INITIALS.fullmatch(before + ".") and before[0].isupper() and kind != "abbreviation":
+            # a name follows, unless it is a word that is written small elsewhere
+            return first.isupper() and self.has(lang, "common", word)
         if kind is None and _INITIALS.fullmatch(before + "."):
-            kind = "title" if before[0].isupper() else "abbreviation"
-            if kind == "title" and first.isupper() and starter:
-                return True
+            kind = "abbreviation"
         if kind is None:
             return True
-        if not first.isupper():
+        if kind == "title" or first.islower():
             return False
-        if period_type(before + ".") == NUMBER:
-            return True
-        return kind == "abbreviation"
+        # a script without case has only its starters to tell by
+        return first.isupper() or (starter and not first.isdigit())
 
     def split(self, text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
         """(start, end) of each unit; none for null, empty and blank texts."""
