@@ -2,17 +2,15 @@
 
 Intermediate results that cut lineage are Parquet tables in the shared folder that the
 cluster names in ``spark.checkpoint.dir``; every executor can read them, so a lost executor
-costs a re-read and nothing else.  A machine-local folder is used only where that setting
-is absent, as in tests on one machine.
+costs a re-read and nothing else.  A machine-local folder is used only where that setting is
+absent and the master is local, as in tests; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="trellis-")
         atexit.register(_remove_local)
@@ -57,8 +58,17 @@ def _remove_local() -> None:
         shutil.rmtree(_LOCAL_DIR, ignore_errors=True)
 
 
+#: Removes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_OPEN: dict[str, "Workspace"] = {}
+
+
 class Workspace:
-    """Names the tables of one job inside the shared folder and removes them again."""
+    """Names the tables of one job inside the shared folder and removes them again.
+
+    Tables that a result still reads live on until ``clear``, ``clear_all`` or the end of the
+    Python process, whichever comes first.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -66,10 +76,19 @@ class Workspace:
         self._n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the table read back, with no lineage before it."""
+        """Write ``df`` and return the table read back, with no lineage before it.
+
+        The shuffle files of the write go with it, as the table takes their place.
+        """
+        _OPEN[self.root] = self
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._trellis_path = path
         return out
@@ -77,14 +96,8 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         self._delete(df._trellis_path)
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of finished jobs, which it does on garbage collection."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
-
     def clear(self) -> None:
+        _OPEN.pop(self.root, None)
         self._delete(self.root)
 
     def _delete(self, path: str) -> None:
@@ -92,3 +105,22 @@ class Workspace:
         target = jvm.org.apache.hadoop.fs.Path(path)
         fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(target, True)
+
+
+def clear_all(spark: SparkSession) -> None:
+    """Remove every table that this process has written to the shared folder; their results can't be read any more."""
+    for ws in list(_OPEN.values()):
+        if ws.spark is spark:
+            ws.clear()
+
+
+def _clear_open() -> None:
+    for ws in list(_OPEN.values()):
+        try:
+            if ws.spark.sparkContext._jsc is not None:
+                ws.clear()
+        except Exception:  # the JVM is gone; nothing can be told it any more
+            return
+
+
+atexit.register(_clear_open)
