@@ -7,8 +7,9 @@ from hypothesis import strategies as st
 
 from trellis.llm.bpe import FOLDER, VOCABULARY, Encoder, encode, read_ranks, serialise
 from trellis.llm.names import Reader, align, linked_spellings, near
-from trellis.llm.packing import pack, pack_group
+from trellis.llm.packing import _best_fit, breed, evolve, found, pack
 from trellis.llm.sentences import Splitter, blocks, split_sentences
+from trellis.runtime import Workspace
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -46,6 +47,41 @@ def test_encode_table(spark):
     assert encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def pack_group(sizes, capacity, seed=0, generations=24):
+    return breed(sizes, capacity, found(sizes, capacity, [seed]), [seed, 1], generations=generations)[0][0] if sizes else []
+
+
+def triplets(n, seed=3):
+    """Sizes that fill n containers of 1 000 to the brim, three to each."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a = rng.randrange(260, 420)
+        b = rng.randrange(300, 1000 - a - 250)
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+def test_islands_breed_and_send_their_elite(spark):
+    groups = {g: triplets(20, g) for g in range(3)}
+    df = spark.createDataFrame(list(groups.items()), "grp long, sizes array<int>")
+    rows = evolve(df, 1000, Workspace(spark, "t")).collect()
+    assert {(r["grp"], r["island"]) for r in rows} == {(g, i) for g in groups for i in range(3)}
+    assert all(r["crossed"] >= 1 for r in rows) and sum(r["crossed"] for r in rows) > len(rows)
+    assert sum(r["moved"] for r in rows) > 0
+    for r in rows:
+        falling = sorted(range(60), key=lambda i: -groups[r["grp"]][i])
+        assert r["bins"] <= len(_best_fit(groups[r["grp"]], 1000, falling, []))
+    best_fit = sum(len(_best_fit(s, 1000, sorted(range(60), key=lambda i: -s[i]), [])) for s in groups.values())
+    assert sum(min(r["bins"] for r in rows if r["grp"] == g) for g in groups) < best_fit
+
+
+def test_long_items_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(1, 70_001 * 8), (65_537, 16)], "k long, n int")
+    rows = pack(df, "k", "n", 8).collect()
+    assert len(rows) == len({r["container_id"] for r in rows}) == 70_003
+
+
 @given(st.lists(st.integers(1, 100), max_size=60), st.integers(0, 5))
 @settings(max_examples=60, deadline=None)
 def test_packing_a_group(sizes, seed):
@@ -127,6 +163,28 @@ def test_units_cover_the_text_in_order(text):
     assert all(text[a:b] == text[a:b].strip() for a, b in got)
 
 
+def test_learned_statistics(spark):
+    """Ordinals of one language don't glue another's sentences; titles, initials and small openers."""
+    turned = lambda parts, i: [*parts[i % len(parts) :], *parts[: i % len(parts)]]
+    rows, expected = [], []
+    for i in range(80):
+        de = [f"Am {i % 28 + 1}. Mai kam Dr. Varn{chr(97 + i % 26)}a.", f"Der {i % 9 + 1}. Versuch gelang.", "Die Wand ist neu.", "Nun war der Ton gut."]
+        en = [f"The lamp cost {i}.", "We saw the room and the lamp.", f"Dr. Lorn{chr(97 + i % 26)}o saw it as we left it.", "It was late."]
+        ar = [f"بلغ العرض {i}.", "هل هذا جيد؟", "قال العميل نعم."]
+        for lang, parts in (("de", de), ("en", en), ("ar", ar), ("ur", [f"یہ کتاب ہے {i}۔", "وہ آیا۔"])):
+            expected.append(turned(parts, i))
+            rows.append((" ".join(expected[-1]), lang))
+    texts = [*rows, ("See item 8. the lamp fell. I met J. The lamp fell.", "en"), ("يوم 8. هل هذا جيد؟", "ar"), (None, None)]
+    df = spark.createDataFrame([(k, t, c, 1) for k, (t, c) in enumerate(texts)], "doc_id long, text string, lang string, n int")
+    got: dict = {}
+    for r in split_sentences(df, "doc_id", "text", "lang").orderBy("doc_id", "sent_no").collect():
+        got.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][0][r["start_char"] : r["end_char"]])
+    assert [got[k] for k in range(len(rows))] == expected
+    last = len(rows)
+    assert got[last] == ["See item 8.", "the lamp fell.", "I met J.", "The lamp fell."]
+    assert got[last + 1] == ["يوم 8.", "هل هذا جيد؟"] and last + 2 not in got
+
+
 def test_sentences_of_a_table(spark):
     rows = [(1, "One ends. Two ends.", "en", 0), (2, None, "en", 0), (3, "", None, 0), (4, " \n ", "xx", 0), (5, "Word " * 20_000, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, word int")
