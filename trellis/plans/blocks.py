@@ -50,6 +50,23 @@ def block_keys(fp: Column, blocks: int, kept: int) -> Column:
     return F.array(*keys)
 
 
+def rotated(fp: Column, blocks: int, kept: int) -> Column:
+    """Array of (block, rotated) for each table: its key, and the bits moved so that the chosen blocks lead.
+
+    All fingerprints of a table are moved alike, so their distances stay.
+    """
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    widths = [edges[b + 1] - edges[b] for b in range(blocks)]
+    part = lambda b: F.shiftrightunsigned(fp, BITS - edges[b + 1]).bitwiseAND(F.lit((1 << widths[b]) - 1))
+    keys, moved = block_keys(fp, blocks, kept), []
+    for chosen in combinations(range(blocks), kept):
+        order, value = [*chosen, *(b for b in range(blocks) if b not in chosen)], None
+        for b in order:
+            value = part(b) if value is None else F.shiftleft(value, widths[b]).bitwiseOR(part(b))
+        moved.append(value)
+    return F.arrays_zip(keys.alias("block"), F.array(*moved).alias("rotated"))
+
+
 def block_tables(fps: DataFrame, blocks: int, kept: int) -> DataFrame:
     """``fps`` (fp, ...) once for each table, with its key there as ``block``."""
     return fps.withColumn("block", F.explode(block_keys(F.col("fp"), blocks, kept)))
@@ -59,8 +76,9 @@ def near_pairs(asked: DataFrame, tables: DataFrame, radius: int, blocks: int, ke
     """Pairs of an asked ``fp`` and a stored ``other`` at most ``radius`` bits apart, equal ones left out.
 
     ``asked`` has each ``fp`` once; ``tables`` is ``block_tables`` of the stored ones, whose
-    other columns come along.  A pair comes once for each table that it shares.
+    other columns come along.  A pair comes once for each table that it shares.  The join may spill
+    and adaptive execution splits the partitions of hot blocks.
     """
     left = block_tables(asked.select("fp"), blocks, kept)
-    met = tables.withColumnRenamed("fp", "other").join(left.hint("shuffle_hash"), "block")
+    met = tables.withColumnRenamed("fp", "other").join(left, "block")
     return met.filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)).drop("block")

@@ -5,35 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Below this many rows a single key can't overload a task.
-HOT_ROWS = 500_000
-#: A key is hot from this share of all rows on, so at most this many keys are hot.
-HOT_KEYS = 256
-SALTS = 64
+#: Rows that one task takes well; up to so many a key isn't split.
+TASK_ROWS = 250_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int) -> list:
-    """Keys holding more than rows / HOT_KEYS rows: at most HOT_KEYS of them, by counting.
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, salts): the keys of more rows than a task takes, and over how many tasks each goes.
 
-    The count is combined before its shuffle.  Null keys never match and aren't listed.
+    There are at most rows / TASK_ROWS of them.  The count is combined before its shuffle.
+    Null keys never match and aren't listed.
     """
-    if rows < HOT_ROWS:
-        return []
-    least = max(HOT_ROWS // 4, rows // HOT_KEYS)
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return [r[0] for r in counts.filter(F.col("count") > least).select(key).collect()]
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") > TASK_ROWS).select(key, F.ceil(F.col("_n") / TASK_ROWS).cast("int").alias("_salts"))
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
     """``left`` join ``right`` on ``key``; ``right`` has each key once.
 
-    Rows of a hot key are spread over SALTS tasks, and only that key's one row of ``right``
-    is repeated for them, so a key with a third of all rows doesn't make one long task.
+    Rows of a hot key are spread over as many tasks as they fill, and only that key's one row of
+    ``right`` is repeated for them, so a key with a third of all rows doesn't make one long task.
+    Nulls of a left join are spread as well.  ``rows`` is about the number of left rows.
     """
-    hot = hot_keys(left, key, rows)
-    if not hot:
+    if rows <= TASK_ROWS:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    hot = hot_keys(left, key)
+    # of 16 bytes and a key each, one for TASK_ROWS rows at most
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
+    spread = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    if how != "left":
+        return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    known = salted.filter(F.col(key).isNotNull()).join(spread, [key, "_salt"], "left").drop("_salt")
+    return known.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)

@@ -12,6 +12,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,17 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OPEN: dict[str, "Workspace"] = {}
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Writes inside remove their shuffle files at their end; what they wrote must be all that is used later."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 class Workspace:
     """Names the tables of one job inside the shared folder and removes them again.
 
@@ -83,12 +95,8 @@ class Workspace:
         _OPEN[self.root] = self
         self._n += 1
         path = f"{self.root}/{self._n}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with shuffles_removed(self.spark):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._trellis_path = path
         return out
