@@ -50,21 +50,26 @@ def block_keys(fp: Column, blocks: int, kept: int) -> Column:
     return F.array(*keys)
 
 
-def rotated(fp: Column, blocks: int, kept: int) -> Column:
-    """Array of (block, rotated) for each table: its key, and the bits moved so that the chosen blocks lead.
+def rotated(df: DataFrame, fp: str, blocks: int, kept: int) -> DataFrame:
+    """``df`` once for each table, with ``block``, its key there, and ``rotated``, its bits moved so that the chosen blocks lead.
 
-    All fingerprints of a table are moved alike, so their distances stay.
+    All fingerprints of a table are moved alike, so their distances stay.  The key is the table's
+    number and the leading bits, of which there must be less than 56.
     """
     edges = [BITS * i // blocks for i in range(blocks + 1)]
-    widths = [edges[b + 1] - edges[b] for b in range(blocks)]
-    part = lambda b: F.shiftrightunsigned(fp, BITS - edges[b + 1]).bitwiseAND(F.lit((1 << widths[b]) - 1))
-    keys, moved = block_keys(fp, blocks, kept), []
-    for chosen in combinations(range(blocks), kept):
-        order, value = [*chosen, *(b for b in range(blocks) if b not in chosen)], None
-        for b in order:
-            value = part(b) if value is None else F.shiftleft(value, widths[b]).bitwiseOR(part(b))
-        moved.append(value)
-    return F.arrays_zip(keys.alias("block"), F.array(*moved).alias("rotated"))
+    choices = list(combinations(range(blocks), kept))
+    orders = [b for chosen in choices for b in [*chosen, *(b for b in range(blocks) if b not in chosen)]]
+    array = lambda values: F.lit([int(v) for v in values])
+    shifts, widths = array(BITS - edges[b + 1] for b in orders), array(edges[b + 1] - edges[b] for b in orders)
+    lead = array(BITS - sum(edges[b + 1] - edges[b] for b in chosen) for chosen in choices)
+    rows = df.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1)))).withColumn("rotated", F.lit(0).cast("bigint"))
+    for j in range(blocks):
+        at = F.col("_t") * blocks + j
+        width = F.get(widths, at)
+        part = F.call_function("shiftrightunsigned", F.col(fp), F.get(shifts, at)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), width) - 1)
+        rows = rows.withColumn("rotated", F.call_function("shiftleft", F.col("rotated"), width).bitwiseOR(part))
+    leading = F.call_function("shiftrightunsigned", F.col("rotated"), F.get(lead, F.col("_t")))
+    return rows.withColumn("block", F.shiftleft(F.col("_t").cast("bigint"), 56).bitwiseOR(leading)).drop("_t")
 
 
 def block_tables(fps: DataFrame, blocks: int, kept: int) -> DataFrame:
