@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm.components import connected_components
 from trellis.llm.history import FingerprintStore, mark_duplicates
+from trellis.plans.blocks import rotated
 
 
 def groups_of(edges):
@@ -84,20 +85,21 @@ def history(seed, n=160):
 
 def test_duplicates_against_brute_force(spark):
     rows = history(3)
-    df = spark.createDataFrame([(*r, "clash") for r in rows + rows[:30]], "seq long, sha string, fp long, block string")
+    at = lambda s: 0 if s == 0 else 1 if s < 90 else 2 if s < 130 else 7
+    df = spark.createDataFrame([(at(r[0]), *r, "clash") for r in rows + rows[:30] + rows[-30:]], "batch int, seq long, sha string, fp long, block string")
     found = [r["seq"] for r in mark_duplicates(df).collect()]
     assert len(found) == len(set(found)) and set(found) == brute(rows)
 
 
 def test_duplicates_of_nothing(spark):
-    schema = "seq long, sha string, fp long"
+    schema = "batch int, seq long, sha string, fp long"
     assert mark_duplicates(spark.createDataFrame([], schema)).collect() == []
-    assert mark_duplicates(spark.createDataFrame([(0, None, None), (1, None, None)], schema)).collect() == []
+    assert mark_duplicates(spark.createDataFrame([(0, 0, None, None), (1, 1, None, None), (None, 3, "a", 1)], schema)).collect() == []
 
 
 def test_one_hot_fingerprint(spark):
-    df = spark.range(1, 3001).select(F.col("id").alias("seq"), F.lit(None).cast("string").alias("sha"), F.lit(77).cast("long").alias("fp"))
-    df = df.union(spark.sql("select 0L, cast(null as string), cast(null as long)"))
+    df = spark.range(1, 3001).select(F.lit(1).alias("batch"), F.col("id").alias("seq"), F.lit(None).cast("string").alias("sha"), F.lit(77).cast("long").alias("fp"))
+    df = df.union(spark.sql("select 0, 0L, cast(null as string), cast(null as long)"))
     assert mark_duplicates(df).count() == 2999
 
 
@@ -106,9 +108,34 @@ def test_store_by_batches_equals_replay(spark, tmp_path):
     schema = "seq long, sha string, fp long"
     store = FingerprintStore(spark, str(tmp_path))
     batch = lambda lo, hi: spark.createDataFrame([r for r in rows if lo <= r[0] < hi], schema)
-    store.append(batch(0, 1))
+    store.append(batch(0, 1), 0)
     found = set()
-    for lo, hi in ((1, 80), (80, 100), (100, 999)):
+    for n, (lo, hi) in enumerate(((1, 80), (80, 100), (100, 999)), 1):
         found |= {r["seq"] for r in store.lookup(batch(lo, hi)).collect()}
-        store.append(batch(lo, hi))
+        store.append(batch(lo, hi), n)
+        files = {name: spark.table(t).count() for name, t in store.names.items()}
+        store.append(batch(lo, hi), n)  # an attempt made again stores nothing twice
+        assert {name: spark.table(t).count() for name, t in store.names.items()} == files
+        store.close()
+        store = FingerprintStore(spark, str(tmp_path))  # as another session finds it
     assert found == brute(rows)
+
+
+def test_lookup_moves_the_batch_alone(spark, tmp_path):
+    store = FingerprintStore(spark, str(tmp_path), rows=5_000)
+    df = spark.range(4_000).selectExpr("id seq", "cast(null as string) sha", "xxhash64(id) fp")
+    store.append(df, 0)
+    stored = store._stored("keys").select(F.col("key").alias("block"), "entry")
+    asked = spark.range(50).selectExpr("xxhash64(id + 7) fp")
+    asked = rotated(asked, "fp", store.blocks, store.kept)
+    plan = asked.hint("shuffle_merge").join(stored, "block")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_texts_are_verified(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, 5, long), (2, None, 5, "quite another text of some length here"), (3, None, 7, long + " more"), (4, None, 7, None), (5, None, None, long)]
+    store = FingerprintStore(spark, str(tmp_path))
+    frame = lambda x: spark.createDataFrame(x, "seq long, sha string, fp long, text string")
+    store.append(frame([(0, None, 4, long)]), 0)
+    assert {r["seq"] for r in store.lookup(frame(rows)).collect()} == {1, 3, 4}

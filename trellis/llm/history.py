@@ -1,86 +1,173 @@
-"""Duplicates of new batches against everything accepted before, by block tables.
+"""Duplicates of new batches against everything accepted before, by stored block tables.
 
 A fingerprint is a 64-bit string of bit differences.  It is cut into ``blocks`` blocks, and
 every choice of ``kept`` of them gives one table: the fingerprint rotated so that the chosen
-blocks lead, stored under that leading key.  Two fingerprints that differ in at most
-``blocks - kept`` bits leave at least ``kept`` blocks untouched, so they share the exact key
-of at least one table.  A lookup is an equi-join per table on that key, and the Hamming
-distance is verified on the pairs found; no pair within the radius is missed.
+blocks lead, stored under these leading bits as its key.  Two fingerprints that differ in at
+most ``blocks - kept`` bits leave at least ``kept`` blocks untouched, so they share the exact
+key of at least one table.  A batch is looked up by an equi-join on that key; the Hamming
+distance is verified on the rotated bits, and the texts where both have one.  No pair within the
+radius is missed.  Then the batch's own fingerprints are appended.
 
-The number of blocks follows the number of fingerprints: wider keys need more tables but
-meet fewer strangers.  The choice changes cost only, never the result.
+The stored tables are bucketed by their key, so a lookup shuffles the batch alone: history is
+neither reprocessed nor moved.  An append writes the partition of its batch and replaces what an
+earlier attempt has left there.  How many blocks there are sets costs only, never the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from math import ceil, comb
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.plans.blocks import block_tables, choose_blocks, near_pairs
+from trellis.plans.blocks import choose_blocks, rotated
 from trellis.plans.skew import lookup
-from trellis.runtime import Workspace
+from trellis.runtime import Workspace, shuffles_removed
 
-def mark_duplicates(rows: DataFrame, radius: int = 6) -> DataFrame:
-    """The ``seq`` of each row that repeats an earlier one.
+OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+#: Rows of one bucket of a stored table.
+BUCKET_ROWS = 2_000_000
+#: Words of a shingle, and the least Jaccard of two texts' shingles.
+SHINGLE, TEXT_JACCARD = 5, 0.8
 
-    ``rows`` has ``seq`` (long; rows that share the least one of all are the accepted
-    history and never reported), ``sha`` and ``fp`` (null where unusable); other columns are
-    ignored.  A row repeats an earlier one, duplicate or not, that has its ``sha`` or an
-    ``fp`` at most ``radius`` bits from its own.  Rows without either key are no duplicates.
-    A row given twice counts once.  An empty table gives an empty result.
 
-    Copies of one fingerprint are one entry of the tables, under their least ``seq``, so a
-    fingerprint that a third of all rows share costs no more than any other.
-    """
-    spark = rows.sparkSession
-    ws = Workspace(spark, "history")
-    rows = ws.save(rows.select("seq", "sha", "fp"))
-    base, n = rows.agg(F.min("seq"), F.count("*")).first()
-    if base is None:
-        return rows.select("seq")
-    new = rows.filter(F.col("seq") > base)
-    by_sha = rows.filter("sha is not null").groupBy("sha").agg(F.min("seq").alias("first"))
-    by_fp = ws.save(rows.filter("fp is not null").groupBy("fp").agg(F.min("seq").alias("first")))
-    # what equal keys settle needs no search of the tables
-    same_sha = lookup(new.filter("sha is not null"), by_sha, "sha", n)
-    same_fp = lookup(new.filter("fp is not null"), by_fp, "fp", n)
-    equal = ws.save(same_sha.select("seq", "first").unionByName(same_fp.select("seq", "first")).filter("first < seq").select("seq").distinct())
-    rest = ws.save(new.filter("fp is not null").join(equal, "seq", "left_anti").select("seq", "fp").distinct())
-    blocks, kept = choose_blocks(by_fp.count(), rest.count(), radius)
-    near = near_pairs(rest, block_tables(by_fp, blocks, kept), radius, blocks, kept).groupBy("fp").agg(F.min("first").alias("first"))
-    found = rest.join(near, "fp").filter("first < seq").select("seq")
-    out = ws.save(equal.unionByName(found))
-    for df in (rows, by_fp, equal, rest):
-        ws.drop(df)
-    return out
+def shingles(text: Column) -> Column:
+    """The distinct hashes of a text's five-word shingles; of a shorter text its words; null for null and blank."""
+    words = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")))
+    return F.when(F.size(words) > 0, F.array_distinct(runs))
 
 
 class FingerprintStore:
-    """Block tables kept on disk: look a batch up, then append it.
+    """Block tables kept under ``path``: look a batch up, then append it.
+
+    Batches have ``seq`` (long), ``sha``, ``fp`` (long; both null where unusable) and perhaps
+    ``text``; other columns are ignored.  A row repeats a stored one, or one of its batch with a
+    lower ``seq``, that has its ``sha``, or an ``fp`` at most ``radius`` bits from its own and, if
+    both have a text, a text of Jaccard TEXT_JACCARD or more by five-word shingles.  Rows without
+    either key repeat nothing; a row given twice repeats itself no more than once; an empty batch has no duplicates.
 
-    The tables lie under ``path``, one partition for each table number, and only grow; a
-    lookup shuffles the batch and never recomputes an accepted row.
+    ``rows`` and ``asked`` are about the fingerprints to be stored and looked up in all.  Copies
+    of a fingerprint are one entry of a batch, however many rows have it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, radius: int = 6, blocks: int = 8):
-        self.spark, self.path, self.radius, self.blocks = spark, path, radius, blocks
-        self.kept = blocks - radius
-
-    def append(self, batch: DataFrame) -> None:
-        """Add ``batch`` (seq long, sha binary or string, fp long)."""
-        keys = batch.filter("sha is not null").groupBy("sha").agg(F.min("seq").alias("first"))
-        keys.write.mode("append").parquet(f"{self.path}/sha")
-        fps = batch.filter("fp is not null").groupBy("fp").agg(F.min("seq").alias("first"))
-        tables = block_tables(fps, self.blocks, self.kept)
-        tables.sortWithinPartitions("block").write.mode("append").parquet(f"{self.path}/fp")
-
-    def lookup(self, batch: DataFrame) -> DataFrame:
-        """The ``seq`` of the batch's rows that repeat a stored row or an earlier row of the batch."""
-        own = mark_duplicates(batch.select("seq", "sha", "fp").unionByName(self.spark.sql("select -1L seq, null sha, null fp")), self.radius)
-        sha = self.spark.read.parquet(f"{self.path}/sha")
-        fp = self.spark.read.parquet(f"{self.path}/fp")
-        by_sha = batch.join(sha, "sha", "left_semi").select("seq")
-        asked = batch.filter("fp is not null").select("fp").distinct()
-        exact = block_tables(asked, self.blocks, self.kept).join(fp.withColumnRenamed("fp", "other"), "block")
-        near = exact.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= self.radius).select("fp").distinct()
-        return own.unionByName(by_sha).unionByName(batch.join(near, "fp", "left_semi").select("seq")).distinct()
+    def __init__(self, spark: SparkSession, path: str, radius: int = 6, rows: int = 100_000, asked: int = 10_000, sha: str = "string"):
+        self.spark, self.path, self.radius = spark, path, radius
+        self.blocks, self.kept = choose_blocks(rows, asked, radius)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(least, ceil(rows * comb(self.blocks, self.kept) / BUCKET_ROWS))
+        kinds = {"keys": f"key bigint, rotated bigint, entry bigint, sha {sha}", "texts": "key bigint, marks array<bigint>"}
+        self.names = {}
+        for name, columns in kinds.items():
+            self.names[name] = f"trellis_{name}_{uuid.uuid4().hex}"
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+            spark.sql(
+                f"create table {self.names[name]} ({columns}, batch bigint) using parquet partitioned by (batch) "
+                f"clustered by (key) sorted by (key) into {self.buckets} buckets location '{path}/{name}'"
+            )
+            spark.sql(f"alter table {self.names[name]} recover partitions")
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.table(self.names[name])
+
+    def _write(self, df: DataFrame, name: str, number: int) -> None:
+        columns = [c for c in self._stored(name).columns if c != "batch"]
+        rows = df.select(*columns, F.lit(number).cast("bigint").alias("batch")).repartition(self.buckets, "key").sortWithinPartitions("key")
+        before = self.spark.conf.get(OVERWRITE)
+        self.spark.conf.set(OVERWRITE, "dynamic")  # replaces the batch's partition alone
+        try:
+            with shuffles_removed(self.spark):
+                rows.write.mode("overwrite").insertInto(self.names[name])
+        finally:
+            self.spark.conf.set(OVERWRITE, before)
+
+    def _rows(self, batch: DataFrame) -> DataFrame:
+        marks = shingles(F.col("text")) if "text" in batch.columns else F.lit(None).cast("array<bigint>")
+        return batch.select("seq", "sha", "fp", marks.alias("marks")).filter("seq is not null")
+
+    def keys(self, batch: DataFrame) -> DataFrame:
+        """(key, rotated, entry, sha, first): the batch's rows of the tables, a sha's key being its hash."""
+        rows = self._rows(batch)
+        fps = rotated(rows.filter("fp is not null").groupBy(F.col("fp").alias("entry")).agg(F.min("seq").alias("first")), "entry", self.blocks, self.kept)
+        shas = rows.filter("sha is not null").groupBy("sha").agg(F.min("seq").alias("first"))
+        key = F.xxhash64("sha").bitwiseAND(F.lit((1 << 56) - 1)).bitwiseOR(F.lit(127 << 56))
+        return fps.withColumnRenamed("block", "key").withColumn("sha", F.lit(None).cast(rows.schema["sha"].dataType)).unionByName(shas.withColumn("key", key), allowMissingColumns=True)
+
+    def append(self, batch: DataFrame, number: int, keys: DataFrame | None = None) -> None:
+        """Store ``batch`` as number ``number``; the same number again replaces what it stored before."""
+        self._write(keys or self.keys(batch), "keys", number)
+        if "text" in batch.columns:
+            self._write(self._rows(batch).filter("fp is not null").select(F.col("fp").alias("key"), "marks").distinct(), "texts", number)
+
+    def _alike(self, a: Column, b: Column) -> Column:
+        """Two texts' shingles, or at least one without a text (null or none)."""
+        shared = F.size(F.array_intersect(a, b))
+        return a.isNull() | b.isNull() | (F.size(a) == 0) | (F.size(b) == 0) | (shared >= TEXT_JACCARD * (F.size(a) + F.size(b) - shared))
+
+    def lookup(self, batch: DataFrame, keys: DataFrame | None = None, rows: int = 0) -> DataFrame:
+        """The ``seq`` of the batch's rows that repeat a stored row or an earlier row of the batch.
+
+        ``keys`` is ``keys(batch)`` where it is at hand, ``rows`` about the batch's size.
+        """
+        ws = Workspace(self.spark, "history")
+        asked, batch_rows = keys or ws.save(self.keys(batch)), self._rows(batch)
+        near = (F.col("sha") == F.col("s")) | (F.bit_count(F.col("rotated").bitwiseXOR(F.col("r"))) <= self.radius)
+        # the join's key is that of the tables' buckets: only the batch is shuffled
+        stored = self._stored("keys").select("key", F.col("rotated").alias("r"), F.col("sha").alias("s"), F.col("entry").alias("other"), F.lit(-(1 << 63)).cast("bigint").alias("since"))
+        own = asked.select("key", F.col("rotated").alias("r"), F.col("sha").alias("s"), F.col("entry").alias("other"), F.col("first").alias("since"))
+        pairs = [asked.drop("first").join(side, "key").filter(near).select("entry", "sha", "other", "since") for side in (stored, own)]
+        by_sha = [p.filter("sha is not null").select("sha", "since") for p in pairs]
+        since = by_sha[0].unionByName(by_sha[1]).groupBy("sha").agg(F.min("since").alias("since"))
+        found = lookup(batch_rows.filter("sha is not null").select("seq", "sha"), since, "sha", rows).filter("since < seq").select("seq")
+        some = batch_rows.filter("fp is not null").select("seq", F.col("fp").alias("entry"), "marks")
+        met = [p.filter("entry is not null") for p in pairs]
+        if "text" in batch.columns:
+            texts = self._stored("texts").select(F.col("key").alias("other"), F.col("marks").alias("theirs"))
+            theirs = some.select(F.col("entry").alias("other"), F.col("seq").alias("since"), F.col("marks").alias("theirs"))
+            old = met[0].select("entry", "other", "since").distinct().join(texts, "other")
+            new = met[1].select("entry", "other").distinct().join(theirs, "other")
+            alike = some.join(old.unionByName(new), "entry").filter((F.col("since") < F.col("seq")) & self._alike(F.col("marks"), F.col("theirs")))
+        else:
+            least = met[0].unionByName(met[1]).groupBy("entry").agg(F.min("since").alias("since"))
+            alike = lookup(some.drop("marks"), least, "entry", rows).filter("since < seq")
+        out = ws.save(found.unionByName(alike.select("seq")).distinct())
+        if keys is None:
+            ws.drop(asked)
+        return out
+
+    def close(self) -> None:
+        """Forget the tables; their files stay for the next store at this path."""
+        for name in self.names.values():
+            self.spark.sql(f"drop table if exists {name}")
+
+
+def mark_duplicates(rows: DataFrame, radius: int = 6) -> DataFrame:
+    """The ``seq`` of each row that repeats an earlier one, worked out batch by batch through a store.
+
+    ``rows`` has ``batch`` (int; the least one is the accepted history and never reported),
+    ``seq`` (long, the order within a batch), ``sha`` and ``fp``, perhaps ``text``.  The number of
+    batches is a loop's, so it is expected to be small.  An empty table gives an empty result.
+    """
+    spark = rows.sparkSession
+    ws = Workspace(spark, "batches")
+    columns = ["batch", "seq", "sha", "fp", *(["text"] if "text" in rows.columns else [])]
+    rows = ws.save(rows.select(*columns).filter("batch is not null and seq is not null").distinct())
+    numbers = [tuple(r) for r in rows.groupBy("batch").agg(F.count("*")).orderBy("batch").collect()]
+    total = sum(n for _, n in numbers)
+    asked = total - (numbers[0][1] if numbers else 0)
+    store = FingerprintStore(spark, f"{ws.root}/store", radius, max(total, 1), max(asked, 1), rows.schema["sha"].dataType.simpleString())
+    out = rows.filter("false").select("seq")
+    for i, (number, n) in enumerate(numbers):
+        batch = rows.filter(F.col("batch") == number)
+        keys = ws.save(store.keys(batch))
+        if i:
+            out = out.unionByName(store.lookup(batch, keys, n))
+        if i < len(numbers) - 1:
+            store.append(batch, number, keys)
+        ws.drop(keys)
+    out = ws.save(out)
+    store.close()
+    ws.drop(rows)
+    return out

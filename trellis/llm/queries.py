@@ -48,14 +48,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads that show an image of the catalogue or of an earlier upload."""
-    keys = lambda df, seq: df.select(seq.alias("seq"), F.unhex(sha256_hex(F.col("sha256"))).alias("sha"), phash_bits(F.col("phash")).alias("fp"))
-    history = keys(load(spark, sf_dir, "manifest_entries"), F.lit(-1).cast("bigint"))
-    place = F.shiftleft(F.col("batch_no").cast("bigint"), 44) + F.col("upload_id")
-    uploads = keys(load(spark, sf_dir, "upload_queue"), place)
-    # the anchor keeps the first upload from passing as history where the catalogue is empty
-    anchor = spark.sql("select -1L seq, cast(null as binary) sha, cast(null as bigint) fp")
-    found = mark_duplicates(history.unionByName(uploads).unionByName(anchor))
-    return found.select(F.col("seq").bitwiseAND(F.lit((1 << 44) - 1)).alias("upload_id"))
+    keys = lambda df, batch, seq: df.select(batch.alias("batch"), seq.alias("seq"), F.unhex(sha256_hex(F.col("sha256"))).alias("sha"), phash_bits(F.col("phash")).alias("fp"))
+    # batch numbers begin with 1; the catalogue is what was accepted before
+    history = keys(load(spark, sf_dir, "manifest_entries"), F.lit(0), F.col("entry_no"))
+    uploads = keys(load(spark, sf_dir, "upload_queue"), F.col("batch_no"), F.col("upload_id"))
+    # the anchor keeps the first batch from passing as history where the catalogue is empty
+    anchor = spark.sql("select 0 batch, -1L seq, cast(null as binary) sha, cast(null as bigint) fp")
+    return mark_duplicates(history.unionByName(uploads).unionByName(anchor)).select(F.col("seq").alias("upload_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
