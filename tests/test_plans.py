@@ -25,6 +25,16 @@ def test_projection_prunes_columns(spark):
     assert "description" not in re.search(r"ReadSchema: \S+", plan(spark, "open_href")).group()
 
 
+@pytest.mark.parametrize("name", ["open_href", "tokenize", "parse_tags", "asset_projection", "soft_delete", "active_rows", "entry_projection"])
+def test_maps_shuffle_nothing(spark, name):
+    assert "Exchange" not in plan(spark, name)
+
+
+def test_filters_reach_the_scan(spark):
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(archived,false\)|PushedFilters: \[[^\]]*Not\(archived|PushedFilters: \[[^\]]*archived", plan(spark, "active_rows"))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(plain_id", plan(spark, "point_lookup"))
+
+
 def test_top_k_is_partial(spark):
     assert "TakeOrderedAndProject" in plan(spark, "cosine_topk")
     assert "TakeOrderedAndProject" in plan(spark, "hybrid_search")

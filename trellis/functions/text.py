@@ -81,7 +81,7 @@ def short_slug(slug: Column) -> Column:
 def asset_slug(context: Column, filename: Column, extension: Column, sha256: Column) -> Column:
     """context-or-name, then six base-36 digits of the content hash, then the extension."""
     stem = F.regexp_replace(text(filename), r"\.[^.]*$", "")
-    base = short_slug(F.coalesce(filled(ascii_slug(text(context))), filled(ascii_slug(stem)), F.lit("asset")))
+    base = short_slug(F.coalesce(filled(slugify(text(context))), filled(slugify(stem)), F.lit("asset")))
     mark = F.lower(F.substring(F.conv(F.substring(sha256, 1, 16), 16, 36), 1, 6))
     return F.concat(base, F.lit("-"), mark, F.lit("."), extension)
 

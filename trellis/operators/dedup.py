@@ -32,6 +32,7 @@ def split_known(incoming: DataFrame, history: DataFrame, key: str, seq: str) ->
     first = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(seq).alias("_first"))
     known = first.join(history.select(key).distinct(), key, "left_semi").select(key, F.lit(True).alias("_known"))
     marked = first.join(known, key, "left")
-    out = incoming.join(marked, key, "left")
+    # rows without a key need no match, and together they would be one task
+    out = incoming.filter(F.col(key).isNotNull()).join(marked, key, "left").unionByName(incoming.filter(F.col(key).isNull()), allowMissingColumns=True)
     fate = F.when(F.col("_known"), "known").when(F.col("_first") < F.col(seq), "repeat").otherwise("first")
     return out.withColumn("fate", fate).drop("_first", "_known")

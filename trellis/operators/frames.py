@@ -15,16 +15,19 @@ SCENE_BITS, SCENE_CANDIDATES, LEAST_OVERALL, SCENES, FRAMES = 10, 3, 3.0, 12, 24
 
 
 def plan(duration: Column, scenes: Column, most: int = FRAMES) -> Column:
-    """Times to look at: just after the start, at each scene, and evenly; apart by a gap, at most ``most``."""
+    """Times to look at: just after the start, at each scene, and evenly; at most ``most``.
+
+    A time is kept, rounded, if it is more than a gap past the rounded one kept before it.
+    """
     end = F.greatest(F.lit(0.0), duration - END_MARGIN)
     n = F.least(F.lit(8), F.greatest(F.lit(3), F.floor(duration / 3).cast("int") + 1))
     even = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i + F.lit(0.5)) * end / n)
     every = F.array_sort(F.filter(F.concat(F.array(F.lit(FIRST_LOOK)), F.coalesce(scenes, F.array().cast("array<double>")), even), lambda t: t.between(0, end)))
     none = F.array().cast("array<double>")
-    spaced = F.aggregate(every, none, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > LEAST_GAP), F.array_append(kept, t)).otherwise(kept))
+    spaced = F.aggregate(every, none, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > LEAST_GAP), F.array_append(kept, F.floor(t * 100 + 0.5) / 100)).otherwise(kept))
     step = F.size(spaced) / F.lit(float(most))
     thin = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(spaced, F.floor(i * step).cast("int")))
-    return F.transform(F.when(F.size(spaced) > most, thin).otherwise(spaced), lambda t: F.round(t, 2))
+    return F.when(F.size(spaced) > most, thin).otherwise(spaced)
 
 
 def scenes(frames: DataFrame, video: str, at: str, bits: str, distance: int = SCENE_BITS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellis.plans.blocks import block_tables, choose_blocks, near_pairs
+from trellis.plans.skew import lookup
 
 
 def near_hashes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
@@ -31,6 +32,9 @@ def top_near(left: DataFrame, right: DataFrame, key: str, other_key: str, radius
     pairs = near_hashes(left, right, radius)
     lowest = Window.partitionBy("fp").orderBy(other_key)
     few = right.filter("fp is not null").select("fp", other_key).distinct().withColumn("n", F.row_number().over(lowest)).filter(F.col("n") <= k)
-    rows = left.select(key, "fp").distinct().join(pairs, "fp").join(few.select(F.col("fp").alias("other"), other_key), "other")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", other_key))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, other_key, "distance", "rank")
+    near = pairs.join(few.select(F.col("fp").alias("other"), other_key), "other")
+    # the answer is the hash's, so it is worked out once for each and a row of at most k hits is looked up
+    rank = F.row_number().over(Window.partitionBy("fp").orderBy("distance", other_key))
+    best = near.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("fp").agg(F.collect_list(F.struct(other_key, "distance", "rank")).alias("hits"))
+    rows = left.select(key, "fp").filter("fp is not null").distinct()
+    return lookup(rows, best, "fp", rows.count()).select(key, F.explode("hits").alias("h")).select(key, "h.*")

@@ -16,6 +16,16 @@ def latest(updates: DataFrame, key: str, at: str, seq: str) -> DataFrame:
     return updates.groupBy(key).agg(F.max_by(row, F.struct(at, seq)).alias("_row"), F.min(at).alias("created_at")).select(key, "_row.*", "created_at")
 
 
+def merged(updates: DataFrame, key: str, at: str, seq: str, fields: list[str]) -> DataFrame:
+    """Each job as its patches leave it: of each field the last value that a patch has, null where none has one.
+
+    One aggregate over the log, combined before its shuffle; a job's patches are never gathered.
+    """
+    order = F.struct(at, seq)
+    last = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields]
+    return updates.groupBy(key).agg(*last, F.min(at).alias("created_at"), F.max(at).alias("updated_at"))
+
+
 def claimable(jobs: DataFrame, now: int) -> DataFrame:
     """Queued jobs, and those in work whose claim is stale, the oldest first by ``rank``."""
     open_ = (F.col("status") == "queued") | ((F.col("status") == "processing") & (F.lit(now) - F.col("updated_at") > STALE_MS))

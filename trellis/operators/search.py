@@ -21,7 +21,7 @@ def cosine_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     Partial top-k in every task, then one merge; nothing is sorted as a whole.
     """
     q = constant_unit(query)
-    scored = vectors.select("id", F.round(dot(unit(F.col("v")), q), 6).alias("score"))
+    scored = vectors.select("id", dot(unit(F.col("v")), q).alias("score"))
     return ranked(scored.orderBy(F.desc("score"), "id").limit(k), [F.desc("score"), "id"])
 
 
@@ -40,10 +40,15 @@ def hybrid(rows: DataFrame, query: str, vector: list[float] | None) -> DataFrame
     terms = F.array(*(F.lit(t) for t in query.lower().split())) if query.split() else F.array().cast("array<string>")
     boost = keyword_boost(said, F.col("people"), F.col("product")) + direct_hit(said, terms, F.col("hay"))
     if vector is None:
-        return rows.withColumn("score", F.round(boost, 6)).filter("score > 0")
+        return rows.withColumn("score", boost).filter("score > 0")
     q = constant_unit(vector)
     near = F.when(F.col("v").isNotNull(), dot(unit(F.col("v")), q))
-    return rows.filter(near.isNotNull() | (boost > 0)).withColumn("score", F.round(F.coalesce(near, F.lit(0.0)) + boost, 6))
+    return rows.filter(near.isNotNull() | (boost > 0)).withColumn("score", F.coalesce(near, F.lit(0.0)) + boost)
+
+
+def offset_of(cursor: str | None) -> int:
+    """Where a page begins: the whole number of its cursor, else the start."""
+    return int(cursor) if cursor and cursor.strip().isascii() and cursor.strip().isdigit() else 0
 
 
 def page(rows: DataFrame, order: list, offset: int, size: int = PAGE, cap: int | None = RANKED) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.fixtures import CAT, NAMES, SPLIT, catalog, micros
+from trellis.fixtures import CAT, NAMES, SPLIT, catalog, curated, micros
 from trellis.functions import bits, media, merge, parse
 from trellis.functions import text as tx
 from trellis.functions.text import bare, filled, text
@@ -25,7 +25,7 @@ def _sha(c):
 
 def uploads(spark, d):
     """(upload_id, seq, filename, source, uploaded_by, sha, fp): each upload once, in order of arrival."""
-    u = load(spark, d, "upload_queue").dropDuplicates(["upload_id"])
+    u = curated(spark, d, "upload_queue", "upload_id")
     seq = F.shiftleft(F.col("batch_no").cast("bigint"), 44) + F.col("upload_id")
     return u.select("upload_id", seq.alias("seq"), "filename", "source", "uploaded_by", _sha(F.col("sha256")).alias("sha"), bits.hash_bits(F.col("phash")).alias("fp"))
 
@@ -153,9 +153,9 @@ def resolve_mime(spark, d):
 _SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(f"WITH {CAT} SELECT entry_no, {_SLUG.format('strip_accents(title)')} AS slug FROM cat WHERE title IS NOT NULL")
+@query(f"WITH {CAT} SELECT entry_no, {_SLUG.format("strip_accents(coalesce(title, ''))")} AS slug FROM cat")
 def slugify(spark, d):
-    return catalog(spark, d).filter("title is not null").select("entry_no", tx.slugify(F.col("title")).alias("slug"))
+    return catalog(spark, d).select("entry_no", tx.slugify(text(F.col("title"))).alias("slug"))
 
 
 _POWERS = "[" + ", ".join(str(36**i) for i in range(12, -1, -1)) + "]"
@@ -163,7 +163,7 @@ _STEM = "regexp_replace(coalesce(title, ''), '\\.[^.]*$', '')"
 _LONG = "CASE WHEN length(b) > 60 THEN regexp_replace(left(b, 60), '-[^-]*$', '') ELSE b END"
 
 
-@query(f"""WITH {CAT}, k AS (SELECT entry_no, {SHA} sha, {_X.replace('filename', 'title')} ext, coalesce(nullif({_SLUG.format("coalesce(context, '')")}, ''), nullif({_SLUG.format(_STEM)}, ''), 'asset') b FROM cat)
+@query(f"""WITH {CAT}, k AS (SELECT entry_no, {SHA} sha, {_X.replace('filename', 'title')} ext, coalesce(nullif({_SLUG.format("strip_accents(coalesce(context, ''))")}, ''), nullif({_SLUG.format("strip_accents(" + _STEM + ")")}, ''), 'asset') b FROM cat)
 SELECT entry_no, {_LONG} || '-' || left(ltrim(array_to_string(list_transform({_POWERS}, lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', (('0x' || left(sha, 16))::UBIGINT::HUGEINT // p::HUGEINT % 36)::INT + 1, 1)), ''), '0'), 6) || '.' || ext AS slug FROM k WHERE sha IS NOT NULL""")
 def asset_slug(spark, d):
     """context or name, six base-36 digits of the hash, extension."""
@@ -243,7 +243,7 @@ def validate_meta(spark, d):
 @query("WITH m AS (SELECT DISTINCT * FROM asset_manifests) SELECT manifest_id, trim(coalesce(setting_location, '')) AS description, len(list_filter(coalesce(visual_tags, []), lambda t: t IS NOT NULL))::BIGINT AS tags FROM m")
 def parse_manifest(spark, d):
     """A model's fenced JSON answer read back."""
-    m = load(spark, d, "asset_manifests").dropDuplicates(["manifest_id"])
+    m = curated(spark, d, "asset_manifests", "manifest_id")
     body = F.to_json(F.struct(text(F.col("setting_location")).alias("overall_description"), F.coalesce("visual_tags", F.array().cast("array<string>")).alias("visual_tags")))
     answer = F.concat(F.lit("Here you are: ```json\n"), body, F.lit("\n``` done"))
     got = F.from_json(parse.embedded_json(answer), "overall_description string, visual_tags array<string>")
@@ -332,7 +332,7 @@ def patch_update(spark, d):
 SELECT entry_no, coalesce(nullif(m.setting, ''), location, '') AS setting, coalesce(m.conf, -1) AS confidence FROM cat LEFT JOIN m USING (entry_no)""")
 def enrich_write(spark, d):
     """The latest analysis written over what was there, empty fields untouched."""
-    m = load(spark, d, "asset_manifests").dropDuplicates(["manifest_id"])
+    m = curated(spark, d, "asset_manifests", "manifest_id")
     conf = F.round(F.col("product_confidence") * 100).cast("bigint")
     m = m.groupBy("entry_no").agg(F.max_by(text(F.col("setting_location")), "manifest_id").alias("setting"), F.max_by(conf, F.when(conf.isNotNull(), F.col("manifest_id"))).alias("conf"))
     rows = catalog(spark, d).select("entry_no", "location").join(m, "entry_no", "left")
@@ -366,7 +366,7 @@ def merge_tags(spark, d):
 @query()
 def merge_people(spark, d):
     """People of an entry with those of its tags: consents filled, new names added."""
-    t = load(spark, d, "person_tags").dropDuplicates(["tag_id"]).filter("name is not null")
+    t = curated(spark, d, "person_tags", "tag_id").filter("name is not null")
     lowest = t.groupBy("entry_no", F.lower("name").alias("k")).agg(F.min(F.struct("tag_id", "name", "consent")).alias("p"))
     tags = lowest.groupBy("entry_no").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["name"].alias("name"), p["consent"].alias("consent"))).alias("new"))
     rows = catalog(spark, d).select("entry_no", parse.people(F.col("people")).alias("old")).join(tags, "entry_no")
@@ -388,16 +388,22 @@ def merge_contribution(spark, d):
 
 _FATE = f"""c AS (SELECT DISTINCT {SHA} sha FROM cat), f AS (SELECT DISTINCT {FP} fp FROM cat),
 u AS (SELECT upload_id, batch_no, {SHA} sha, {FP} fp, row_number() OVER (PARTITION BY {SHA} ORDER BY batch_no, upload_id) rn FROM up),
-n AS (SELECT DISTINCT upload_id FROM u JOIN f ON bit_count(xor(u.fp, f.fp)) <= 6)"""
+s AS (SELECT upload_id, batch_no, fp FROM u WHERE fp IS NOT NULL AND NOT coalesce(sha IS NOT NULL AND (sha IN (SELECT sha FROM c WHERE sha IS NOT NULL) OR rn > 1), false)),
+n AS (SELECT DISTINCT upload_id FROM u JOIN f ON bit_count(xor(u.fp, f.fp)) <= 6
+ UNION SELECT a.upload_id FROM s a JOIN s b ON (b.batch_no, b.upload_id) < (a.batch_no, a.upload_id) AND bit_count(xor(a.fp, b.fp)) <= 6)"""
 
 
 @query(f"""WITH {CAT}, {UP}, {_FATE} SELECT upload_id, CASE WHEN sha IS NOT NULL AND (sha IN (SELECT sha FROM c WHERE sha IS NOT NULL) OR rn > 1) THEN 'deduped' WHEN upload_id IN (SELECT upload_id FROM n) THEN 'similar' ELSE 'created' END AS outcome FROM u""")
 def ingest_batch(spark, d):
-    """Each upload's outcome: exact duplicate first, then near duplicate of the catalogue, else created."""
+    """Each upload's outcome: exact duplicate first, then near duplicate of the catalogue or of an upload stored before it, else created."""
     known = dedup.split_known(uploads(spark, d), entries(spark, d).filter("sha is not null"), "sha", "seq")
-    near = neardup.near_hashes(known.filter("fate = 'first'"), entries(spark, d), 6).select("fp").distinct().withColumn("near", F.lit(True))
-    rows = known.join(near, "fp", "left")
-    return rows.select("upload_id", F.when(F.col("fate") != "first", "deduped").when(F.col("near"), "similar").otherwise("created").alias("outcome"))
+    stored = known.filter("fate = 'first' and fp is not null")
+    first = stored.groupBy("fp").agg(F.min("seq").alias("since"))
+    listed = neardup.near_hashes(stored, entries(spark, d), 6).select("fp", F.lit(-1).cast("bigint").alias("since"))
+    queued = neardup.near_hashes(stored, stored, 6).join(first.withColumnRenamed("fp", "other"), "other").select("fp", "since")
+    near = listed.unionByName(queued).groupBy("fp").agg(F.min("since").alias("since"))
+    rows = known.filter("fp is not null").join(near, "fp", "left").unionByName(known.filter("fp is null"), allowMissingColumns=True)
+    return rows.select("upload_id", F.when(F.col("fate") != "first", "deduped").when(F.col("since") < F.col("seq"), "similar").otherwise("created").alias("outcome"))
 
 
 @query(f"""WITH {CAT}, {UP}, {_FATE} SELECT u.upload_id, CASE WHEN sha IS NOT NULL AND (sha IN (SELECT sha FROM c WHERE sha IS NOT NULL) OR rn > 1) THEN 'deduped' ELSE 'created' END AS outcome
@@ -412,7 +418,7 @@ def ingest_video(spark, d):
 @query("""WITH m AS (SELECT DISTINCT * FROM asset_manifests), s AS (SELECT manifest_id, array_to_string(coalesce(visual_tags, []), ', ') t, len(coalesce(visual_tags, [])) n FROM m)
 SELECT manifest_id, CASE WHEN length(t) > 140 THEN left(t, 140) || '…' ELSE t END || ' · ' || n || ' tags' AS summary FROM s""")
 def upload_summary(spark, d):
-    m = load(spark, d, "asset_manifests").dropDuplicates(["manifest_id"])
+    m = curated(spark, d, "asset_manifests", "manifest_id")
     tags = F.coalesce("visual_tags", F.array().cast("array<string>"))
     return m.select("manifest_id", F.concat(tx.summary(F.array_join(tags, ", ")), F.lit(" · "), F.size(tags).cast("string"), F.lit(" tags")).alias("summary"))
 
@@ -420,18 +426,25 @@ def upload_summary(spark, d):
 @query("WITH m AS (SELECT DISTINCT * FROM asset_manifests) SELECT manifest_id, coalesce(array_to_string(usable_for, ', '), '') AS usable_for, coalesce(array_to_string(mood_tone, ', '), '') AS mood_tone FROM m")
 def list_to_text(spark, d):
     """Lists as texts, the change of type of those columns."""
-    m = load(spark, d, "asset_manifests").dropDuplicates(["manifest_id"])
+    m = curated(spark, d, "asset_manifests", "manifest_id")
     return m.select("manifest_id", *(text(F.array_join(c, ", ")).alias(c) for c in ("usable_for", "mood_tone")))
 
 
 @query("""WITH m AS (SELECT DISTINCT * FROM asset_manifests) SELECT manifest_id, coalesce(array_to_string(list_transform(visual_tags[1:3], lambda t: '0–4s: ' || coalesce(t, '') || ' [pan; use: hero]'), chr(10)), '') AS beats FROM m""")
 def format_beats(spark, d):
-    m = load(spark, d, "asset_manifests").dropDuplicates(["manifest_id"])
+    m = curated(spark, d, "asset_manifests", "manifest_id")
     rows = F.transform(F.slice("visual_tags", 1, 3), lambda t: F.struct(F.lit(0).alias("start"), F.lit(4).alias("end"), text(t).alias("text"), F.lit("pan").alias("kind"), F.lit("hero").alias("use")))
     return m.select("manifest_id", text(parse.beats(rows)).alias("beats"))
 
 
-@query(f"WITH {CAT} SELECT entry_no, coalesce(nullif(title, ''), 'Untitled') AS title, coalesce(context, '') AS context, coalesce(credit, '') AS credit, epoch_us(coalesce(uploaded_at, created_time)) AS uploaded, coalesce(lower(sha256), '') AS sha256 FROM cat")
+_TEXTS = ["url", "description", "media_type", "drive_link", "context", "people", "product", "location", "shoot", "credit", "rights_notes", "tags", "source", "uploaded_by", "phash"]
+
+
+@query(f"""WITH {CAT} SELECT entry_no, id, coalesce(nullif(title, ''), 'Untitled') AS title, {', '.join(f"coalesce({c}, '') AS {c}" for c in _TEXTS)},
+ CASE WHEN lower(regexp_replace(coalesce(rights_kind, ''), '^\\s+|\\s+$', '', 'g')) IN ('internal', 'licensed', 'restricted') THEN lower(regexp_replace(rights_kind, '^\\s+|\\s+$', '', 'g')) ELSE 'internal' END AS rights_kind,
+ epoch_us(coalesce(uploaded_at, created_time)) AS uploaded, epoch_us(created_time) AS created, epoch_us(last_edited_time) AS edited, coalesce(lower(sha256), '') AS sha256, archived FROM cat""")
 def entry_projection(spark, d):
-    c = catalog(spark, d)
-    return c.select("entry_no", F.coalesce(filled(F.col("title")), F.lit("Untitled")).alias("title"), text(F.col("context")).alias("context"), text(F.col("credit")).alias("credit"), micros(F.coalesce("uploaded_at", "created_time")).alias("uploaded"), text(F.lower("sha256")).alias("sha256"))
+    """A stored row as the entry that callers see, every field of it."""
+    texts = [text(F.col(c)).alias(c) for c in _TEXTS]
+    times = [micros(F.coalesce("uploaded_at", "created_time")).alias("uploaded"), micros(F.col("created_time")).alias("created"), micros(F.col("last_edited_time")).alias("edited")]
+    return catalog(spark, d).select("entry_no", "id", F.coalesce(filled(F.col("title")), F.lit("Untitled")).alias("title"), *texts, parse.rights_kind(F.col("rights_kind")).alias("rights_kind"), *times, text(F.lower("sha256")).alias("sha256"), "archived")

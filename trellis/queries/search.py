@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.fixtures import CAT, HAY, NAMES, QUERY, SEARCH, UNIT, VEC, catalog, micros, query_vector, searchable, vectors
+from trellis.fixtures import CAT, COMPOSED, HAY, NAMES, QUERY, SEARCH, UNIT, VEC, VEC_ALL, catalog, composed, micros, query_vector, searchable, vectors
 from trellis.functions.parse import people_names
 from trellis.functions.text import direct_hit, filled, keyword_boost, text, tokens
 from trellis.functions.vectors import norm, unit
@@ -17,38 +17,40 @@ _TERMS = "[" + ", ".join(f"'{t}'" for t in _Q.split()) + "]"
 _BOOST = f"""(CASE WHEN len(list_filter(people, lambda n: n <> '' AND contains('{_Q}', lower(n)))) > 0 THEN 0.2::DOUBLE ELSE 0 END
  + CASE WHEN product <> '' AND contains('{_Q}', lower(product)) THEN 0.15::DOUBLE ELSE 0 END)"""
 _HIT = f"""(CASE WHEN hay = '' THEN 0::DOUBLE WHEN contains(hay, '{_Q}') THEN 0.5::DOUBLE ELSE 0.45::DOUBLE * len(list_filter({_TERMS}, lambda t: length(t) >= 2 AND contains(hay, t))) / {len(_Q.split())} END)"""
-_SCORED = f"""{SEARCH}, q AS (SELECT {UNIT.format('v')} qv FROM vec ORDER BY id LIMIT 1),
-boosted AS (SELECT *, {_BOOST} + {_HIT} boost FROM rows_),
-scored AS (SELECT entry_no, round(CASE WHEN v IS NOT NULL THEN list_dot_product({UNIT.format('v')}, qv) ELSE 0 END + boost, 6) score
-  FROM boosted CROSS JOIN q WHERE v IS NOT NULL OR boost > 0)"""
+_SCORED = f"""{COMPOSED}, q AS (SELECT {UNIT.format('v')} qv FROM vec ORDER BY id LIMIT 1),
+nears AS (SELECT entry_no, list_dot_product({UNIT.format('low.v')}, qv) near FROM low CROSS JOIN q),
+boosted AS (SELECT *, {_BOOST} + {_HIT} boost FROM seen),
+scored AS (SELECT entry_no, CASE WHEN v IS NOT NULL THEN near ELSE 0 END + boost AS full_score, round(full_score, 6) score
+  FROM boosted LEFT JOIN nears USING (entry_no) WHERE v IS NOT NULL OR boost > 0)"""
 
 
-@query(f"WITH {VEC} SELECT id, round(sqrt(list_dot_product(v, v)), 4) AS length, round(list_sum({UNIT.format('v')}), 4) AS total FROM vec")
+@query(f"WITH {VEC_ALL} SELECT id, round(sqrt(list_dot_product(v, v)), 4) AS length, round(list_sum({UNIT.format('v')}), 4) AS total FROM vec")
 def unit_normalize(spark, d):
     u = unit(F.col("v"))
-    return vectors(spark, d).select("id", F.round(norm(F.col("v")), 4).alias("length"), F.round(F.aggregate(u, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    return vectors(spark, d, None).select("id", F.round(norm(F.col("v")), 4).alias("length"), F.round(F.aggregate(u, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query(f"""WITH {VEC}, q AS (SELECT {UNIT.format('v')} qv FROM vec ORDER BY id LIMIT 1), s AS (SELECT id, round(list_dot_product({UNIT.format('v')}, qv), 6) score FROM vec, q)
-SELECT row_number() OVER (ORDER BY score DESC, id)::BIGINT AS rank, id, score FROM s ORDER BY score DESC, id LIMIT 10""")
+@query(f"""WITH {VEC}, q AS (SELECT {UNIT.format('v')} qv FROM vec ORDER BY id LIMIT 1), s AS (SELECT id, list_dot_product({UNIT.format('v')}, qv) score FROM vec, q)
+SELECT row_number() OVER (ORDER BY score DESC, id)::BIGINT AS rank, id, round(score, 6) AS score FROM s ORDER BY rank LIMIT 10""")
 def cosine_topk(spark, d):
-    return search.cosine_top(vectors(spark, d), query_vector(spark, d), 10).select("rank", "id", "score")
+    return search.cosine_top(vectors(spark, d), query_vector(spark, d), 10).select("rank", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_SCORED} SELECT row_number() OVER (ORDER BY score DESC, entry_no)::BIGINT AS rank, entry_no, score FROM scored ORDER BY score DESC, entry_no LIMIT 300")
+@query(f"WITH {_SCORED} SELECT row_number() OVER (ORDER BY full_score DESC, entry_no)::BIGINT AS rank, entry_no, score FROM scored ORDER BY full_score DESC, entry_no LIMIT 300")
 def hybrid_search(spark, d):
-    rows = search.hybrid(searchable(spark, d), QUERY, query_vector(spark, d)).select("entry_no", "score")
-    return search.page(rows, [F.desc("score"), "entry_no"], 0, search.RANKED)
+    """Ranked over the catalogue, its edits and its deletes together."""
+    rows = search.hybrid(composed(spark, d), QUERY, query_vector(spark, d)).select("entry_no", "score")
+    return search.page(rows, [F.desc("score"), "entry_no"], 0, search.RANKED).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_SCORED}, r AS (SELECT row_number() OVER (ORDER BY score DESC, entry_no)::BIGINT AS rank, entry_no, score FROM scored)
+@query(f"""WITH {_SCORED}, r AS (SELECT row_number() OVER (ORDER BY full_score DESC, entry_no)::BIGINT AS rank, entry_no, score FROM scored)
 SELECT rank, entry_no, score, CASE WHEN 48 < least(300, (SELECT count(*) FROM scored)) THEN 48::BIGINT END AS next_cursor FROM r WHERE rank > 24 AND rank <= 48""")
 def search_page(spark, d):
-    rows = search.hybrid(searchable(spark, d), QUERY, query_vector(spark, d)).select("entry_no", "score")
+    rows = search.hybrid(composed(spark, d), QUERY, query_vector(spark, d)).select("entry_no", "score")
     order = [F.desc("score"), "entry_no"]
-    more = search.page(rows, order, 24, search.PAGE + 1)  # one row more tells whether a page follows
+    more = search.page(rows, order, search.offset_of("24"), search.PAGE + 1)  # one row more tells whether a page follows
     more = more.withColumn("last", F.max("rank").over(search.Window.partitionBy()))
-    return more.filter("rank <= 48").select("rank", "entry_no", "score", F.when(F.col("last") > 48, F.lit(48).cast("bigint")).alias("next_cursor"))
+    return more.filter("rank <= 48").select("rank", "entry_no", F.round("score", 6).alias("score"), F.when(F.col("last") > 48, F.lit(48).cast("bigint")).alias("next_cursor"))
 
 
 @query(f"WITH {SEARCH} SELECT entry_no, round({_BOOST}, 2) AS boost FROM rows_")
@@ -72,10 +74,13 @@ def haystack(spark, d):
     return searchable(spark, d).select("entry_no", "hay")
 
 
-@query(f"WITH {CAT} SELECT row_number() OVER (ORDER BY created_time DESC, entry_no)::BIGINT AS rank, entry_no FROM cat WHERE NOT archived ORDER BY created_time DESC, entry_no LIMIT 24")
+@query(f"""WITH {CAT}, b AS (SELECT entry_no, created_time, entry_no % 10 = 0 is_overlay FROM cat WHERE NOT archived AND (entry_no % 10 = 0 OR entry_no % 17 <> 0))
+SELECT row_number() OVER (ORDER BY is_overlay DESC, created_time DESC, entry_no)::BIGINT AS rank, entry_no, is_overlay FROM b ORDER BY rank LIMIT 24""")
 def recent_browse(spark, d):
-    rows = catalog(spark, d).filter("not archived").select("entry_no", "created_time")
-    return search.page(rows, [F.desc("created_time"), "entry_no"], 0, cap=None).select("rank", "entry_no")
+    """The newest first: what came since the index was built before the rest of it."""
+    base = catalog(spark, d).filter("not archived").select("entry_no", "created_time")
+    rows = overlay.merge(base, base.filter("entry_no % 10 = 0"), base.filter("entry_no % 17 = 0").select("entry_no"), "entry_no")
+    return search.page(rows, [F.desc("is_overlay"), F.desc("created_time"), "entry_no"], 0, cap=None).select("rank", "entry_no", "is_overlay")
 
 
 _FIELDS = ["title", "description", "context", "product", "location", "tags", "no_such_field", "archived"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trellis.fixtures import CAT, JOBS, NAMES, SPLIT, VEC, catalog, job_updates, micros, vectors
+from trellis.fixtures import CAT, JOBS, NAMES, SPLIT, VEC, catalog, curated, job_updates, micros, vectors
 from trellis.functions.parse import people_names, split_list
 from trellis.functions.text import bare, filled, text
 from trellis.functions.vectors import from_blob, to_blob
@@ -55,10 +55,10 @@ def adaptive_shards(spark, d):
 @query(f"WITH {CAT} SELECT entry_no, title FROM cat WHERE replace(id, '-', '') = (SELECT replace(min(id), '-', '') FROM cat WHERE NOT archived) AND NOT archived")
 def point_lookup(spark, d):
     """An entry by its id, dashes or not, unless it is archived."""
-    c = catalog(spark, d).filter("not archived")
+    c = curated(spark, d, "manifest_entries", "entry_no").filter("not archived")
     wanted = c.agg(F.min("id")).first()[0]
-    plain = (wanted or "").replace("-", "")
-    return c.filter(F.regexp_replace("id", "-", "") == plain).select("entry_no", "title")
+    plain = (wanted or "").strip().lower().replace("-", "")
+    return c.filter(F.col("plain_id") == plain).select("entry_no", "title")
 
 
 @query(f"WITH {CAT}, r AS (SELECT entry_no, archived FROM cat ORDER BY created_time DESC, entry_no LIMIT 100) SELECT entry_no FROM r WHERE NOT archived")
@@ -197,6 +197,15 @@ def job_latest(spark, d):
     return _jobs(spark, d)[1].select("job_id", "status", "progress", "updated_at", "created_at")
 
 
+@query(f"""WITH {JOBS}, p AS (SELECT job_id, at_, seq, CASE WHEN seq % 3 <> 0 THEN status END status, CASE WHEN seq % 2 = 0 THEN progress END progress FROM u)
+SELECT job_id, arg_max(status, (at_, seq)) FILTER (WHERE status IS NOT NULL) AS status, arg_max(progress, (at_, seq)) FILTER (WHERE progress IS NOT NULL) AS progress, min(at_) AS created_at, max(at_) AS updated_at FROM p GROUP BY job_id""")
+def job_merged(spark, d):
+    """Updates that give some fields only, merged into each job's record."""
+    u = job_updates(spark, d)
+    patches = u.select("job_id", "at", "seq", F.when(F.col("seq") % 3 != 0, F.col("status")).alias("status"), F.when(F.col("seq") % 2 == 0, F.col("progress")).alias("progress"))
+    return queue.merged(patches, "job_id", "at", "seq", ["status", "progress"])
+
+
 @query(f"{_LATEST} SELECT row_number() OVER (ORDER BY created_at, job_id)::BIGINT AS rank, job_id FROM l, now_ WHERE status = 'queued' OR (status = 'processing' AND n - updated_at > 1800000) ORDER BY created_at, job_id LIMIT 20")
 def claim_next(spark, d):
     """The oldest jobs that may be taken up; the clock is the log's last time."""
@@ -281,7 +290,10 @@ def select_frames(spark, d):
     return frames.top_scenes(best, "video", "overall", "sharpness", "vec_id").select("video", "scene", "vec_id", "place")
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, greatest(0, value - 0.3) safe, least(8, greatest(3, floor(value / 3)::INT + 1)) n, value v FROM events),
+a AS (SELECT event_id, list_sort(list_filter(list_concat([0.2::DOUBLE, v / 3, v / 2, v / 2 + 0.1], list_transform(range(n), lambda i: (i + 0.5::DOUBLE) * safe / n)), lambda t: t >= 0 AND t <= safe)) ts FROM e),
+k AS (SELECT event_id, CASE WHEN len(ts) = 0 THEN []::DOUBLE[] ELSE list_reduce(list_transform(ts, lambda t: [t]), lambda acc, x: CASE WHEN x[1] - acc[-1] > 0.4::DOUBLE THEN list_append(acc, round(x[1], 2)) ELSE acc END, [round(ts[1], 2)]) END kept FROM a)
+SELECT event_id, len(kept)::INT AS frames, array_to_string(list_transform(kept, lambda t: t::VARCHAR), ' ') AS times FROM k""")
 def frame_plan(spark, d):
     e = load(spark, d, "events")
     cuts = F.array(F.col("value") / 3, F.col("value") / 2, F.col("value") / 2 + 0.1)
