@@ -14,7 +14,18 @@ class TextEmbedder(Protocol):
 
     dimensions: int
 
-    def embed(self, texts: list[str]) -> list[list[float] | None]: ...
+    def embed(self, texts: list[str]) -> list[tuple[int, list[float] | None]]:
+        """(place of the text in the call, its vector), in whatever order the service answers."""
+        ...
+
+
+def in_order(answers: list[tuple[int, list[float] | None]], n: int) -> list[list[float] | None]:
+    """The vectors in the order of the ``n`` texts asked; null for what has no answer."""
+    out: list[list[float] | None] = [None] * n
+    for place, vector in answers:
+        if 0 <= place < n:
+            out[place] = vector
+    return out
 
 
 def embed(df: DataFrame, key: str, text: str, provider: TextEmbedder) -> DataFrame:
@@ -30,7 +41,7 @@ def embed(df: DataFrame, key: str, text: str, provider: TextEmbedder) -> DataFra
             texts = b.column(1).to_pylist()
             asked = [t for t in texts if t]
             try:
-                answers = iter(provider.embed(asked) if asked else [])
+                answers = iter(in_order(provider.embed(asked), len(asked)) if asked else [])
             except Exception:  # the contract is best effort
                 answers = iter([None] * len(asked))
             out = [next(answers) if t else None for t in texts]

@@ -152,6 +152,17 @@ def embed_batches(spark, d):
     return c.groupBy("batch").agg(F.count("*").alias("texts"), F.min("entry_no").alias("first"))
 
 
+@query(f"WITH {CAT} SELECT entry_no, coalesce(length(nullif(title, '')), -1)::BIGINT AS letters, CASE WHEN coalesce(title, '') = '' THEN -1 ELSE length(title) - length(replace(title, ' ', '')) + 1 END::BIGINT AS words FROM cat WHERE NOT archived")
+def embed_titles(spark, d):
+    """Vectors from a provider that answers each batch out of order, put back to their texts."""
+    from trellis.providers.base import embed
+    from trellis.providers.stub import LengthEmbedder
+
+    v = embed(catalog(spark, d).filter("not archived"), "entry_no", "title", LengthEmbedder())
+    part = lambda i: F.coalesce(F.get("v", F.lit(i)), F.lit(-1)).cast("bigint")
+    return v.select("entry_no", part(0).alias("letters"), part(1).alias("words"))
+
+
 # ------------------------------------------------ collections: a shoot is one
 
 
