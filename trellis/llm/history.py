@@ -28,6 +28,8 @@ from trellis.runtime import Workspace, shuffles_removed
 OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 #: Rows of one bucket of a stored table.
 BUCKET_ROWS = 2_000_000
+#: Waiting batches are looked up together up to this share of what is stored.
+GATHER = 0.05
 #: Words of a shingle, and the least Jaccard of two texts' shingles.
 SHINGLE, TEXT_JACCARD = 5, 0.8
 
@@ -42,7 +44,7 @@ def shingles(text: Column) -> Column:
 class FingerprintStore:
     """Block tables kept under ``path``: look a batch up, then append it.
 
-    Batches have ``seq`` (long), ``sha``, ``fp`` (long; both null where unusable) and perhaps
+    Batches have ``seq`` (of any type that has an order), ``sha``, ``fp`` (long; both null where unusable) and perhaps
     ``text``; other columns are ignored.  A row repeats a stored one, or one of its batch with a
     lower ``seq``, that has its ``sha``, or an ``fp`` at most ``radius`` bits from its own and, if
     both have a text, a text of Jaccard TEXT_JACCARD or more by five-word shingles.  Rows without
@@ -115,23 +117,25 @@ class FingerprintStore:
         asked, batch_rows = keys or ws.save(self.keys(batch)), self._rows(batch)
         near = (F.col("sha") == F.col("s")) | (F.bit_count(F.col("rotated").bitwiseXOR(F.col("r"))) <= self.radius)
         # the join's key is that of the tables' buckets: only the batch is shuffled
-        stored = self._stored("keys").select("key", F.col("rotated").alias("r"), F.col("sha").alias("s"), F.col("entry").alias("other"), F.lit(-(1 << 63)).cast("bigint").alias("since"))
-        own = asked.select("key", F.col("rotated").alias("r"), F.col("sha").alias("s"), F.col("entry").alias("other"), F.col("first").alias("since"))
-        pairs = [asked.drop("first").join(side, "key").filter(near).select("entry", "sha", "other", "since") for side in (stored, own)]
-        by_sha = [p.filter("sha is not null").select("sha", "since") for p in pairs]
-        since = by_sha[0].unionByName(by_sha[1]).groupBy("sha").agg(F.min("since").alias("since"))
-        found = lookup(batch_rows.filter("sha is not null").select("seq", "sha"), since, "sha", rows).filter("since < seq").select("seq")
+        stored = self._stored("keys").select("key", F.col("rotated").alias("r"), F.col("sha").alias("s"), F.col("entry").alias("other"), F.lit(True).alias("old"), F.lit(None).cast(asked.schema["first"].dataType).alias("since"))
+        own = asked.select("key", F.col("rotated").alias("r"), F.col("sha").alias("s"), F.col("entry").alias("other"), F.lit(False).alias("old"), F.col("first").alias("since"))
+        pairs = [asked.drop("first").join(side, "key").filter(near).select("entry", "sha", "other", "old", "since") for side in (stored, own)]
+        earlier = F.col("old") | (F.col("since") < F.col("seq"))
+        first = [F.max("old").alias("old"), F.min("since").alias("since")]
+        by_sha = [p.filter("sha is not null").select("sha", "old", "since") for p in pairs]
+        since = by_sha[0].unionByName(by_sha[1]).groupBy("sha").agg(*first)
+        found = lookup(batch_rows.filter("sha is not null").select("seq", "sha"), since, "sha", rows).filter(earlier).select("seq")
         some = batch_rows.filter("fp is not null").select("seq", F.col("fp").alias("entry"), "marks")
         met = [p.filter("entry is not null") for p in pairs]
         if "text" in batch.columns:
             texts = self._stored("texts").select(F.col("key").alias("other"), F.col("marks").alias("theirs"))
             theirs = some.select(F.col("entry").alias("other"), F.col("seq").alias("since"), F.col("marks").alias("theirs"))
-            old = met[0].select("entry", "other", "since").distinct().join(texts, "other")
-            new = met[1].select("entry", "other").distinct().join(theirs, "other")
-            alike = some.join(old.unionByName(new), "entry").filter((F.col("since") < F.col("seq")) & self._alike(F.col("marks"), F.col("theirs")))
+            old = met[0].select("entry", "other", "old", "since").distinct().join(texts, "other")
+            new = met[1].select("entry", "other", "old").distinct().join(theirs, "other")
+            alike = some.join(old.unionByName(new), "entry").filter(earlier & self._alike(F.col("marks"), F.col("theirs")))
         else:
-            least = met[0].unionByName(met[1]).groupBy("entry").agg(F.min("since").alias("since"))
-            alike = lookup(some.drop("marks"), least, "entry", rows).filter("since < seq")
+            least = met[0].unionByName(met[1]).groupBy("entry").agg(*first)
+            alike = lookup(some.drop("marks"), least, "entry", rows).filter(earlier)
         out = ws.save(found.unionByName(alike.select("seq")).distinct())
         if keys is None:
             ws.drop(asked)
@@ -147,8 +151,10 @@ def mark_duplicates(rows: DataFrame, radius: int = 6) -> DataFrame:
     """The ``seq`` of each row that repeats an earlier one, worked out batch by batch through a store.
 
     ``rows`` has ``batch`` (int; the least one is the accepted history and never reported),
-    ``seq`` (long, the order within a batch), ``sha`` and ``fp``, perhaps ``text``.  The number of
-    batches is a loop's, so it is expected to be small.  An empty table gives an empty result.
+    ``seq`` (long, the order within a batch), ``sha`` and ``fp``, perhaps ``text``.  A lookup reads
+    the stored tables once, so batches that wait together are looked up together, in their order,
+    until they hold GATHER of what is stored; that changes no result.  An empty table gives an
+    empty result.
     """
     spark = rows.sparkSession
     ws = Workspace(spark, "batches")
@@ -159,15 +165,22 @@ def mark_duplicates(rows: DataFrame, radius: int = 6) -> DataFrame:
     asked = total - (numbers[0][1] if numbers else 0)
     store = FingerprintStore(spark, f"{ws.root}/store", radius, max(total, 1), max(asked, 1), rows.schema["sha"].dataType.simpleString())
     out = rows.filter("false").select("seq")
+    ordered = rows.withColumn("seq", F.struct("batch", "seq"))
+    steps, stored = [], 0
     for i, (number, n) in enumerate(numbers):
-        batch = rows.filter(F.col("batch") == number)
+        if i < 2 or steps[-1][2] >= GATHER * stored:
+            stored += steps[-1][2] if steps else 0
+            steps.append([number, number, 0])
+        steps[-1][1:] = number, steps[-1][2] + n
+    for i, (low, high, n) in enumerate(steps):
+        batch = ordered.filter(F.col("batch").between(low, high))
         keys = ws.save(store.keys(batch))
         if i:
-            out = out.unionByName(store.lookup(batch, keys, n))
-        if i < len(numbers) - 1:
-            store.append(batch, number, keys)
+            out = out.unionByName(store.lookup(batch, keys, n).select("seq.seq"))
+        if i < len(steps) - 1:
+            store.append(batch, high, keys)
         ws.drop(keys)
-    out = ws.save(out)
+    out = ws.save(out.distinct())
     store.close()
     ws.drop(rows)
     return out
