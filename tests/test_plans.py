@@ -53,3 +53,10 @@ def test_joins_are_equi_joins(spark, name):
 @pytest.mark.parametrize("name", ["overlay_merge", "keyword_search", "haystack", "direct_hit_of_rows", "near_dup_topk"])
 def test_no_python_in_hot_paths(spark, name):
     assert not re.search("Python|MapInArrow|MapInPandas", plan(spark, name))
+
+
+@pytest.mark.parametrize("name", ["near_dup_topk"])
+def test_block_tables_are_not_broadcast(spark, name):
+    p = plan(spark, name)
+    blocks = [line for line in p.splitlines() if re.search(r"Join.*\[block#", line)]
+    assert blocks and all("SortMergeJoin" in line for line in blocks)

@@ -82,8 +82,9 @@ def near_pairs(asked: DataFrame, tables: DataFrame, radius: int, blocks: int, ke
 
     ``asked`` has each ``fp`` once; ``tables`` is ``block_tables`` of the stored ones, whose
     other columns come along.  A pair comes once for each table that it shares.  The join may spill
-    and adaptive execution splits the partitions of hot blocks.
+    and adaptive execution splits the partitions of hot blocks.  It's never a broadcast: the planner
+    takes an exploded side to be as large as before, though it has a row for each table.
     """
-    left = block_tables(asked.select("fp"), blocks, kept)
+    left = block_tables(asked.select("fp"), blocks, kept).hint("merge")
     met = tables.withColumnRenamed("fp", "other").join(left, "block")
     return met.filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)).drop("block")
