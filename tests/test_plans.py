@@ -55,7 +55,7 @@ def test_no_python_in_hot_paths(spark, name):
     assert not re.search("Python|MapInArrow|MapInPandas", plan(spark, name))
 
 
-@pytest.mark.parametrize("name", ["near_dup_topk", "ingest_batch"])
+@pytest.mark.parametrize("name", ["near_dup_pairs", "near_dup_topk", "ingest_batch"])
 def test_block_tables_are_not_broadcast(spark, name):
     p = plan(spark, name)
     blocks = [line for line in p.splitlines() if re.search(r"Join.*\[block#", line)]
