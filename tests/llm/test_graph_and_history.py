@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,20 @@ def test_texts_are_verified(spark, tmp_path):
     frame = lambda x: spark.createDataFrame(x, "seq long, sha string, fp long, text string")
     store.append(frame([(0, None, 4, long)]), 0)
     assert {r["seq"] for r in store.lookup(frame(rows)).collect()} == {1, 3, 4}
+
+
+def test_the_history_is_stored_a_few_tables_at_a_time(spark, tmp_path, monkeypatch):
+    store = FingerprintStore(spark, str(tmp_path), rows=3_000_000, asked=3_000_000)
+    df = spark.range(300).selectExpr("id seq", "cast(id % 7 as string) sha", "xxhash64(id) fp")
+    write, sizes = FingerprintStore._write, []
+    monkeypatch.setattr(FingerprintStore, "_write", lambda self, rows, *a, **kw: (sizes.append(rows.count()), write(self, rows, *a, **kw)))
+    every = comb(store.blocks, store.kept)
+    for _ in range(2):  # an attempt made again stores nothing twice
+        sizes.clear()
+        store.append(df, 0)
+        assert every > 7 and max(sizes) <= 7 * 300 + 7 and sum(sizes) == every * 300 + 7
+        stored = store._stored("keys")
+        assert stored.count() == stored.distinct().count() == every * 300 + 7
+    same = store.keys(df).drop("first").withColumn("batch", F.lit(0).cast("long")).select(stored.columns)
+    assert same.exceptAll(stored).isEmpty()
+    store.close()

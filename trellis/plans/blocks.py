@@ -50,8 +50,8 @@ def block_keys(fp: Column, blocks: int, kept: int) -> Column:
     return F.array(*keys)
 
 
-def rotated(df: DataFrame, fp: str, blocks: int, kept: int) -> DataFrame:
-    """``df`` once for each table, with ``block``, its key there, and ``rotated``, its bits moved so that the chosen blocks lead.
+def rotated(df: DataFrame, fp: str, blocks: int, kept: int, tables: range | None = None) -> DataFrame:
+    """``df`` once for each table, or each of ``tables``, with ``block``, its key there, and ``rotated``, its bits moved so that the chosen blocks lead.
 
     All fingerprints of a table are moved alike, so their distances stay.  The key is the table's
     number and the leading bits, of which there must be less than 56.
@@ -62,7 +62,7 @@ def rotated(df: DataFrame, fp: str, blocks: int, kept: int) -> DataFrame:
     array = lambda values: F.lit([int(v) for v in values])
     shifts, widths = array(BITS - edges[b + 1] for b in orders), array(edges[b + 1] - edges[b] for b in orders)
     lead = array(BITS - sum(edges[b + 1] - edges[b] for b in chosen) for chosen in choices)
-    rows = df.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1)))).withColumn("rotated", F.lit(0).cast("bigint"))
+    rows = df.withColumn("_t", F.explode(F.lit([*(tables or range(len(choices)))]))).withColumn("rotated", F.lit(0).cast("bigint"))
     for j in range(blocks):
         at = F.col("_t") * blocks + j
         width = F.get(widths, at)
