@@ -60,3 +60,8 @@ def test_block_tables_are_not_broadcast(spark, name):
     p = plan(spark, name)
     blocks = [line for line in p.splitlines() if re.search(r"Join.*\[block#", line)]
     assert blocks and all("SortMergeJoin" in line for line in blocks)
+
+
+@pytest.mark.parametrize("name", ["near_dup_pairs"])
+def test_nothing_that_grows_is_broadcast(spark, name):
+    assert "Broadcast" not in plan(spark, name)

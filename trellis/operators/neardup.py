@@ -8,18 +8,23 @@ from pyspark.sql.window import Window
 
 from trellis.plans.blocks import block_tables, choose_blocks, near_pairs
 from trellis.plans.skew import lookup
+from trellis.runtime import Workspace
 
 
 def near_hashes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """(fp, other, distance): hashes of ``left`` and ``right`` at most ``radius`` bits apart, equal ones too.
 
     Both sides have ``fp`` (64-bit); null ones match nothing, repeated ones count once, so a
-    hash that a third of all rows share is one row here.
+    hash that a third of all rows share is one row here.  They are written once, as they are
+    counted and then read for each side; where both sides are one table it's written once as well.
     """
-    a, b = (df.select("fp").filter("fp is not null").distinct() for df in (left, right))
+    ws = Workspace(left.sparkSession, "hashes")
+    hashes = lambda df: ws.save(df.select("fp").filter("fp is not null").distinct())
+    a = hashes(left)
+    b = a if right is left else hashes(right)
     blocks, kept = choose_blocks(b.count(), a.count(), radius)
     apart = near_pairs(a, block_tables(b, blocks, kept), radius, blocks, kept).select("fp", "other").distinct()
-    same = a.join(b, "fp", "left_semi").select("fp", F.col("fp").alias("other"))
+    same = (a if b is a else a.join(b.hint("merge"), "fp", "left_semi")).select("fp", F.col("fp").alias("other"))
     return apart.unionByName(same).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))))
 
 
