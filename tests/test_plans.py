@@ -62,6 +62,6 @@ def test_block_tables_are_not_broadcast(spark, name):
     assert blocks and all("SortMergeJoin" in line for line in blocks)
 
 
-@pytest.mark.parametrize("name", ["near_dup_pairs"])
+@pytest.mark.parametrize("name", ["near_dup_pairs", "ingest_batch", "exact_dup_split"])
 def test_nothing_that_grows_is_broadcast(spark, name):
     assert "Broadcast" not in plan(spark, name)

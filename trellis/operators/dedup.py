@@ -27,12 +27,13 @@ def record_score(url: Column, link: Column, description: Column, edited: Column)
 def split_known(incoming: DataFrame, history: DataFrame, key: str, seq: str) -> DataFrame:
     """``incoming`` with ``fate``: "known" if the history has its key, "first" or "repeat" within the batch.
 
-    Rows with a null key are "first".  Keys are pre-aggregated on both sides.
+    Rows with a null key are "first".  Keys are pre-aggregated on both sides.  No side is
+    broadcast: the planner takes a column of long keys for as small as it is in its file.
     """
     first = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(seq).alias("_first"))
-    known = first.join(history.select(key).distinct(), key, "left_semi").select(key, F.lit(True).alias("_known"))
-    marked = first.join(known, key, "left")
+    known = first.join(history.select(key).distinct().hint("merge"), key, "left_semi").select(key, F.lit(True).alias("_known"))
+    marked = first.join(known.hint("merge"), key, "left")
     # rows without a key need no match, and together they would be one task
-    out = incoming.filter(F.col(key).isNotNull()).join(marked, key, "left").unionByName(incoming.filter(F.col(key).isNull()), allowMissingColumns=True)
+    out = incoming.filter(F.col(key).isNotNull()).join(marked.hint("merge"), key, "left").unionByName(incoming.filter(F.col(key).isNull()), allowMissingColumns=True)
     fate = F.when(F.col("_known"), "known").when(F.col("_first") < F.col(seq), "repeat").otherwise("first")
     return out.withColumn("fate", fate).drop("_first", "_known")

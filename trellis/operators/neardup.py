@@ -28,6 +28,22 @@ def near_hashes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     return apart.unionByName(same).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))))
 
 
+def since_near(stored: DataFrame, listed: DataFrame, radius: int) -> DataFrame:
+    """(fp, since): for each hash of ``stored`` (fp, since) the least ``since`` of one at most ``radius`` bits apart, itself too.
+
+    A hash of ``listed`` was there before all, at -1.  Both are asked in one join, of which only
+    the least is kept, so no list of pairs is gathered.
+    """
+    ws = Workspace(stored.sparkSession, "since")
+    rows = stored.select("fp", "since", F.lit(True).alias("asked"))
+    rows = rows.unionByName(listed.select("fp", F.lit(-1).cast("bigint").alias("since"), F.lit(False).alias("asked")))
+    hashes = ws.save(rows.filter("fp is not null").groupBy("fp").agg(F.min("since").alias("since"), F.max("asked").alias("asked")))
+    asked = hashes.filter("asked")
+    blocks, kept = choose_blocks(hashes.count(), asked.count(), radius)
+    met = near_pairs(asked, block_tables(hashes.select("fp", "since"), blocks, kept), radius, blocks, kept).select("fp", "since")
+    return met.unionByName(asked.select("fp", "since")).groupBy("fp").agg(F.min("since").alias("since"))
+
+
 def top_near(left: DataFrame, right: DataFrame, key: str, other_key: str, radius: int, k: int) -> DataFrame:
     """(key, other_key, distance, rank): the ``k`` nearest rows of ``right`` for each row of ``left``.
 

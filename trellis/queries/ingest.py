@@ -10,7 +10,7 @@ from trellis.functions import text as tx
 from trellis.functions.text import bare, filled, text
 from trellis.operators import dedup, neardup
 from trellis.queries.registry import query
-from trellis.runtime import load
+from trellis.runtime import Workspace, load
 
 _HEX = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 UP = "up AS (SELECT DISTINCT * FROM upload_queue)"
@@ -397,12 +397,11 @@ n AS (SELECT DISTINCT upload_id FROM u JOIN f ON bit_count(xor(u.fp, f.fp)) <= 6
 def ingest_batch(spark, d):
     """Each upload's outcome: exact duplicate first, then near duplicate of the catalogue or of an upload stored before it, else created."""
     known = dedup.split_known(uploads(spark, d), entries(spark, d).filter("sha is not null"), "sha", "seq")
-    stored = known.filter("fate = 'first' and fp is not null")
-    first = stored.groupBy("fp").agg(F.min("seq").alias("since"))
-    listed = neardup.near_hashes(stored, entries(spark, d), 6).select("fp", F.lit(-1).cast("bigint").alias("since"))
-    queued = neardup.near_hashes(stored, stored, 6).join(first.withColumnRenamed("fp", "other"), "other").select("fp", "since")
-    near = listed.unionByName(queued).groupBy("fp").agg(F.min("since").alias("since"))
-    rows = known.filter("fp is not null").join(near, "fp", "left").unionByName(known.filter("fp is null"), allowMissingColumns=True)
+    # read three times below
+    known = Workspace(spark, "ingest").save(known.select("upload_id", "seq", "fp", "fate"))
+    stored = known.filter("fate = 'first'").select("fp", F.col("seq").alias("since"))
+    near = neardup.since_near(stored, entries(spark, d).select("fp"), 6)
+    rows = known.filter("fp is not null").join(near.hint("merge"), "fp", "left").unionByName(known.filter("fp is null"), allowMissingColumns=True)
     return rows.select("upload_id", F.when(F.col("fate") != "first", "deduped").when(F.col("since") < F.col("seq"), "similar").otherwise("created").alias("outcome"))
 
 
