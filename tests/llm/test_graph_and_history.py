@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trellis.llm.components import connected_components
 from trellis.llm.history import FingerprintStore, mark_duplicates
 from trellis.plans.blocks import rotated
+from trellis.runtime import Workspace
 
 
 def groups_of(edges):
@@ -56,6 +57,23 @@ def test_long_vertices(spark):
     assert {(r["id"], r["group_id"]) for r in connected_components(df).collect()} == {(5, 3), (3, 3), (9, 3), (1, 1), (2, 1)}
 
 
+def test_rounds_and_one_task_agree(spark):
+    rng = random.Random(3)
+    edges = [(f"n{rng.randrange(500)}", f"n{rng.randrange(500)}") for _ in range(400)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    for most in (0, 60, 400):
+        assert {r["id"]: r["group_id"] for r in connected_components(df, one_task=most).collect()} == groups_of(edges)
+
+
+def test_few_links_take_few_queries(spark, monkeypatch):
+    saved = []
+    save = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda ws, df: saved.append(1) or save(ws, df))
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)]
+    assert run(spark, chain) == groups_of(chain)
+    assert len(saved) <= 4
+
+
 def brute(rows, radius=6):
     base = min(r[0] for r in rows)
     out = set()
