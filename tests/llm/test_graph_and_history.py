@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellis.llm.components import connected_components
-from trellis.llm.history import FingerprintStore, mark_duplicates
+from trellis.llm.history import FingerprintStore, choice_masks, mark_duplicates
 from trellis.plans.blocks import rotated
 from trellis.runtime import Workspace
 
@@ -175,3 +175,32 @@ def test_the_history_is_stored_a_few_tables_at_a_time(spark, tmp_path, monkeypat
     same = store.keys(df).drop("first").withColumn("batch", F.lit(0).cast("long")).select(stored.columns)
     assert same.exceptAll(stored).isEmpty()
     store.close()
+
+
+def test_more_fingerprints_take_no_more_tables(spark, tmp_path):
+    # 7 tables asked 28 of some 500 000 fingerprints and 84 of 100 million
+    sizes = (10_000, 500_000, 100_000_000)
+    stores = [FingerprintStore(spark, str(tmp_path / str(n)), rows=n, asked=n // 4) for n in sizes]
+    assert [comb(s.blocks, s.kept) for s in stores] == [s.blocks for s in stores] and stores[-1].blocks <= 9
+    for s in stores:
+        s.close()
+    rng = random.Random(4)
+    for whole in (1, 2, 3):
+        masks = choice_masks(6 + whole, whole)
+        assert sum(map(len, masks)) == comb(6 + whole, whole) and max(map(len, masks)) * len(masks) < 1.5 * comb(6 + whole, whole)
+        for _ in range(300):
+            bits = sum(1 << b for b in rng.sample(range(64), 6))
+            assert any(signed(bits) & m == 0 for table in masks for m in table)
+
+
+@pytest.mark.parametrize("way", ["shuffle_hash", "merge"])
+def test_choices_of_blocks_against_brute_force(spark, tmp_path, monkeypatch, way):
+    monkeypatch.setattr(FingerprintStore, "_way", lambda self, asked: way)
+    rows = history(11)
+    schema = "seq long, sha string, fp long"
+    store = FingerprintStore(spark, str(tmp_path), rows=50_000_000, asked=10_000_000)
+    assert store.whole > 1
+    store.append(spark.createDataFrame([r for r in rows if r[0] == 0], schema), 0)
+    found = [r["seq"] for r in store.lookup(spark.createDataFrame([r for r in rows if r[0] > 0], schema)).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(rows)
+    store.close()
