@@ -92,6 +92,27 @@ def test_trees_grow_slowly_with_the_vectors():
         assert abs(same - nearest.meet(digits, 0.8)) < 0.02
 
 
+def test_a_sketch_moves_once_a_tree(spark, monkeypatch):
+    x = vectors_of(6, 1200, 24)
+    vectors = spark.createDataFrame([(i, 1, [float(c) for c in v]) for i, v in enumerate(x)], "id long, grp int, v array<float>")
+    save, plans = nearest.Workspace.save, []
+    monkeypatch.setattr(nearest.Workspace, "save", lambda ws, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), save(ws, df))[1])
+    assert similar_vectors(vectors).count()
+    passes = -(-nearest.tree_count(nearest.prefix_bits(1200), 0.8, 0.97) // nearest.PASS)
+    # no arrays besides those compared: the bounds come from the same ones, and are joined to nothing
+    assert len([p for p in plans if "Exchange hashpartitioning(grp" in p and "MapInArrow" in p]) == passes
+    assert not [p for p in plans if "keys#" in p and "Join" in p]
+
+
+@pytest.mark.parametrize("n", [4, 6, 7, 300])
+def test_bounds_from_the_longest_prefixes(n):
+    bits = np.random.default_rng(n).integers(0, 2**63, (n, 4)).astype("u8")
+    got = nearest._reached(bits, 6)
+    for i in range(n):
+        seen = sorted(int(np.bitwise_count(bits[i] ^ bits[j]).sum()) for j in range(max(0, i - nearest.LOOK), min(n, i + nearest.LOOK + 1)) if j != i)
+        assert got[i] == (seen[5] if len(seen) > 5 else nearest.SKETCH_BITS)
+
+
 def test_a_vector_moves_once_and_not_with_each_pair(spark):
     rng = np.random.default_rng(8)
     x = np.repeat(rng.standard_normal((30, 16)), 20, axis=0) + 0.05 * rng.standard_normal((600, 16))
